@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import quality, simhash
-from scanloom.llm.common import table
+import public_tokenizers
+
+from scanloom.llm import hostrules, quality, simhash, tokenfile
+from scanloom.llm.common import shared_path, table
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +24,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the token ids of all documents to files and read them back."""
+    path = shared_path(spark, "tokens")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), tokenfile.Vocabulary(public_tokenizers.path("word_bpe_49k.json")), path)
+    return tokenfile.read_tokens(spark, path)
+
+
+def op7_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures and verdicts of all documents; the source is the host."""
+    return hostrules.host_verdicts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
+    "op5_tokenfile": op5_tokenfile,
+    "op7_hostrules": op7_hostrules,
 }
 
 ORACLES: dict[str, str] = {}
