@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from scanloom.llm import hostrules, quality, simhash, tokenfile
+from scanloom.llm import decontaminate, hostrules, mixing, quality, simhash, tokenfile
 from scanloom.llm.common import shared_path, table
 
 
@@ -31,16 +31,28 @@ def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule measures and verdicts of all documents; the source is the host."""
     return hostrules.host_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each."""
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op5_tokenfile": op5_tokenfile,
+    "op6_decontaminate": op6_decontaminate,
     "op7_hostrules": op7_hostrules,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}
