@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (local tests).
 LOCAL_SHARED_DIR = "/tmp/checkpoints/scanloom"
+#: A bitmap of words has this many longs: 128 kB whatever the number of words.
+BITMAP_LONGS = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +40,15 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a table that ``written`` or an operator made and nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def bitmap(words: DataFrame) -> Column:
+    """A foldable array of longs with the bit of each distinct ``word`` set, to ask with ``in_bitmap``."""
+    slots = words.select(F.expr(f"shiftright(hash(word), 6) & {BITMAP_LONGS - 1}").alias("slot"), F.expr("hash(word) & 63").alias("bit")).distinct()
+    longs = {r.slot: r.v for r in slots.groupBy("slot").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v")).collect()}  # BITMAP_LONGS rows at most
+    return F.split(F.lit(",".join(str(longs.get(k, 0)) for k in range(BITMAP_LONGS))), ",").cast("array<bigint>")
+
+
+def in_bitmap(word: str) -> str:
+    """SQL: whether the bit of the expression ``word`` is set in the column ``bits``; true for every word put in."""
+    return f"getbit(get(bits, shiftright(hash({word}), 6) & {BITMAP_LONGS - 1}), hash({word}) & 63) = 1"

@@ -18,11 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import written
+from scanloom.llm.common import bitmap, in_bitmap, written
 
 WINDOW = 10
-#: The bitmap has this many longs: 128 kB whatever the size of the benchmark.
-BITMAP_LONGS = 1 << 14
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAPS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -41,22 +39,10 @@ def windows_of(benchmark: DataFrame) -> DataFrame:
     return cut.select("item_id", F.array_join("words", " ").alias("win"), F.size("words").alias("k"), "words").distinct()
 
 
-def bitmap(words: DataFrame) -> Column:
-    """A foldable array of longs with the bit of each distinct ``word`` set."""
-    bit = F.expr("hash(word) & 63")
-    slots = words.select(F.expr(f"shiftright(hash(word), 6) & {BITMAP_LONGS - 1}").alias("slot"), bit.alias("bit")).distinct()
-    longs = {r.slot: r.v for r in slots.groupBy("slot").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v")).collect()}  # BITMAP_LONGS rows at most
-    return F.split(F.lit(",".join(str(longs.get(k, 0)) for k in range(BITMAP_LONGS))), ",").cast("array<bigint>")
-
-
-def _in_bitmap(word: str) -> str:
-    return f"getbit(get(bits, shiftright(hash({word}), 6) & {BITMAP_LONGS - 1}), hash({word}) & 63) = 1"
-
-
 def corpus_counts(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``word`` and its number ``n`` in all documents, for each word of the vocabulary; 0 for those not found."""
     listed = documents.select(words_of(F.col("text")).alias("words"), bitmap(vocabulary).alias("bits"))
-    found = listed.select(F.explode(F.expr(f"filter(words, w -> {_in_bitmap('w')})")).alias("word")).join(vocabulary, "word", "left_semi")
+    found = listed.select(F.explode(F.expr(f"filter(words, w -> {in_bitmap('w')})")).alias("word")).join(vocabulary, "word", "left_semi")
     return vocabulary.join(found.groupBy("word").agg(F.count("*").alias("n")), "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -83,7 +69,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     listed = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words_of(F.col("text")).alias("words"), bitmap(tokens.select(F.col("token").alias("word"))).alias("bits"))
     listed = listed.withColumn("n_words", F.size("words").cast("long"))
     picked = F.expr(
-        f"transform(filter(sequence(0, greatest(size(words) - 1, 0)), i -> coalesce({_in_bitmap('get(words, i)')}, false)),"
+        f"transform(filter(sequence(0, greatest(size(words) - 1, 0)), i -> coalesce({in_bitmap('get(words, i)')}, false)),"
         f" i -> named_struct('pos', i, 'token', get(words, i), 'from', greatest(i - {WINDOW - 1}, 0), 'ctx', slice(words, greatest(i - {WINDOW - 1}, 0) + 1, {2 * WINDOW - 1})))"
     )
     # A row of its own for each document, under a token that no window has (it holds a gap character).
