@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from scanloom.llm import decontaminate, hostrules, mixing, quality, simhash, tokenfile
+from scanloom.llm import decontaminate, hostrules, htmltext, mixing, pii, quality, simhash, tokenfile
 from scanloom.llm.common import shared_path, table
 
 
@@ -41,6 +41,17 @@ def op7_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.host_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and the terms that reveal it."""
+    out = pii.personal_data(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_terms")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_tokenfile": op5_tokenfile,
     "op6_decontaminate": op6_decontaminate,
     "op7_hostrules": op7_hostrules,
+    "op8_htmltext": op8_htmltext,
+    "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
 
