@@ -30,7 +30,7 @@ from scanloom.llm.common import removed, shared_path
 #: Ids of a block, at least, unless it is a shard's last; a document is never cut.
 BLOCK_IDS = 1 << 18
 #: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: Lengths of the four ids of each control byte, and their sum.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 TOTALS = LENGTHS.sum(axis=1)
@@ -49,8 +49,22 @@ class Vocabulary:
         return "<u2" if self.size <= 1 << 16 else "<u4"
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Encoder:
-    """Ids of texts. What stands between ASCII white space is encoded apart, once per distinct piece."""
+    """Ids of texts. What stands between ASCII white space is encoded apart, once per distinct piece.
+
+    New pieces are encoded many at a time, between bars: a bar by itself is one
+    id, which no piece without a bar gives. Texts whose characters all are
+    Latin-1 (so none combine) are lower-cased beforehand where the tokenizer
+    does so itself: fewer pieces are distinct.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,18 +73,42 @@ class _Encoder:
         self.tokenizer, self.dtype = Tokenizer.from_file(vocabulary.path), vocabulary.dtype
         self.end = np.array([vocabulary.end_id], self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.lowers = all(self._ids(c) == self._ids(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        self.bar = self._ids("|")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _pieces(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        return (raw.lower() if self.lowers and _latin(text) else raw).split()
+
+    def _fresh(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of pieces, each once."""
+        made: dict[bytes, bytes] = {}
+        plain = [p for p in new if b"|" not in p] if len(self.bar) == 1 else []
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
+            ids = np.array(self._ids(b" | ".join(some).decode()), self.dtype)
+            cuts = np.flatnonzero(ids == self.bar[0])
+            if len(cuts) == len(some) - 1:
+                raw, size = ids.tobytes(), ids.itemsize
+                starts, ends = [0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)]
+                made.update(zip(some, (raw[a:b] for a, b in zip(starts, ends))))
+        rest = [p for p in new if p not in made]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)):
+            made[p] = np.array(e.ids, self.dtype).tobytes()
+        return made
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Each text's ids with the end id, as little-endian bytes."""
-        pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = list(set().union(*pieces).difference(self.known)) if pieces else []
-        made = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        fresh = {p: np.array(e.ids, self.dtype).tobytes() for p, e in zip(new, made)}
-        if len(self.known) + len(fresh) <= REMEMBERED:
-            self.known.update(fresh)
-            find = self.known.__getitem__
+        pieces = [self._pieces(t) for t in texts]
+        fresh = self._fresh(list(set().union(*pieces).difference(self.known)))
+        known = self.known
+        if len(known) + len(fresh) <= REMEMBERED:
+            known.update(fresh)
+            find = known.__getitem__
         else:
-            known = self.known
 
             def find(p: bytes) -> bytes:
                 got = known.get(p)
