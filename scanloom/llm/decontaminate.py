@@ -54,7 +54,7 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; and row, a hash of id and text.
 
     Null and empty texts have no words; items without words have no window.
     Items that repeat count once by id. Each document row is judged by its own
@@ -92,7 +92,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     joined = base.join(per_row, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed_items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed_items).cast("long").alias("n_items"), F.sha2(F.array_join(listed_items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed_items).cast("long").alias("n_items"), F.sha2(F.array_join(listed_items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "row")
+
+
+def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, all columns, that hold no window of the benchmark."""
+    bad = written(contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct(), "decontam-bad")
+    keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("__row") == F.col("bad_row")), "left_anti").drop("__row")
 
 
 #: The same in DuckDB's SQL: every window of every document against every window of every item.

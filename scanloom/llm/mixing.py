@@ -13,8 +13,11 @@ gives is a closed form of its place in the stream: no block becomes a row.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,7 +109,7 @@ def taken_before(x: Column, blocks: Column, quota: Column, first: Column, size:
 
 
 def mixed(documents: DataFrame, params: MixParams = MixParams(), text: str = "text", source: str = "source") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken; and its stream: begin, blocks, quota, first, copies' source.
+    """Per document: doc_id, size, source_size, target, taken; and its place and its shard's quota: source, order, begin, blocks, quota, first.
 
     A null text has no words and is taken 0 times; a null source is a source of
     its own, last in order. Repeated rows and null ids each are documents (rows
@@ -134,3 +137,45 @@ def mixed(documents: DataFrame, params: MixParams = MixParams(), text: str = "te
     terms = (F.col("blocks"), F.col("quota"), F.col("first"), params.block_words)
     taken = F.when(F.col("size") > 0, taken_before(F.col("end"), *terms) - taken_before(F.col("begin"), *terms)).otherwise(0).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "order", "begin", "blocks", "quota", "first")
+
+
+def _cut(text: str, begin: int, end: int, size: int) -> str:
+    """Words from ``begin`` to ``end`` of a text of ``size`` words, as they stand in it."""
+    if begin == 0 and end == size:
+        return text
+    places = [m.span() for m in re.finditer(WORDS, text)]
+    return text[places[begin][0] : places[end - 1][1]]
+
+
+def mixed_documents(documents: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+    """The documents of the mix, all columns: each as often as it is taken, cut to the words taken where a run ends in it."""
+    sources = mixed(documents, params)
+    size = params.block_words
+    more = F.col("quota") % F.greatest("blocks", F.lit(1))
+    last = F.col("first") + more
+    runs = [(F.col("first"), F.least(last, F.col("blocks"))), (F.lit(0), F.greatest(last - F.col("blocks"), F.lit(0)))]
+    ranges = [F.struct((F.greatest(a * size, F.col("begin")) - F.col("begin")).cast("long").alias("a"), (F.least(b * size, F.col("begin") + F.col("size")) - F.col("begin")).cast("long").alias("b")) for a, b in runs]
+    whole = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1))).cast("int")
+    again = Window.partitionBy("of", "order").orderBy("begin")
+    plan = sources.where("taken > 0").select(F.col("doc_id").alias("of"), F.col("order").alias("order"), "begin", "size", whole.alias("whole"), F.array(*ranges).alias("ranges"))
+    plan = plan.select("of", "order", F.row_number().over(again).alias("nth"), F.struct("size", "whole", "ranges").alias("__plan"))
+    plan = written(plan, "mixing-plan")
+    keyed = documents.withColumn("__order", F.xxhash64("doc_id", "text", F.lit(params.seed))).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__order").orderBy(F.lit(0))))
+    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("__order") == F.col("order")) & (F.col("__nth") == F.col("nth")))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked, texts = [], []
+            for k, (text, plan) in enumerate(zip(batch["text"], batch["__plan"].to_pylist())):
+                full = text.as_py()
+                made = [full] * plan["whole"] + [_cut(full, r["a"], r["b"], plan["size"]) for r in plan["ranges"] if r["b"] > r["a"]]
+                picked += [k] * len(made)
+                texts += made
+            out = batch.drop_columns(["__plan"]).take(pa.array(picked, pa.int64()))
+            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, out.schema.field("text").type))
+            if "n_chars" in out.schema.names:
+                at = out.schema.get_field_index("n_chars")
+                out = out.set_column(at, "n_chars", pa.array([len(t) for t in texts]).cast(out.schema.field(at).type))
+            yield out
+
+    return joined.select(*documents.columns, "__plan").mapInArrow(rows, documents.schema)

@@ -180,3 +180,16 @@ def score_quality(documents: DataFrame, weights: np.ndarray, params: QualityPara
     out = documents.select("doc_id", "text").mapInArrow(scored, f"doc_id {id_type}, score double, predicted int")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def good_documents(documents: DataFrame, weights: np.ndarray, params: QualityParams = QualityParams()) -> DataFrame:
+    """The documents, all columns, whose score reaches the threshold."""
+    shared = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    bits, threshold = params.bits, params.threshold
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([score_text(t.as_py(), w, bits) >= threshold for t in batch["text"]], pa.bool_()))
+
+    return documents.mapInArrow(kept, documents.schema)

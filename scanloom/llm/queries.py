@@ -5,13 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from scanloom.llm import decontaminate, hostrules, htmltext, mixing, pii, quality, simhash, tokenfile
+from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, pii, quality, simhash, tokenfile
 from scanloom.llm.common import shared_path, table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents; a document stands at source/lang/doc_id."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"), F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from labels that are not held out."""
     documents = table(spark, sf_dir, "documents")
@@ -33,7 +39,7 @@ def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in all documents."""
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
 def op7_hostrules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op5_tokenfile": op5_tokenfile,

@@ -70,15 +70,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every whole text; a null text has no words."""
+    """doc_id, row (a hash of id and text) and fp (fingerprint as a signed long) of every whole text; a null text has no words."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t.as_py()) for t in batch["text"]], np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "fp": pa.array(made.view(np.int64), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "row": batch["row"], "fp": pa.array(made.view(np.int64), pa.int64())})
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(hashed, f"doc_id {id_type}, fp long")
+    return documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(hashed, f"doc_id {id_type}, row long, fp long")
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -243,6 +243,17 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def components(documents: DataFrame, cap: int = CAP) -> DataFrame:
+    """One row per document: doc_id, row, fp, component_id and root (the least fingerprint of its set)."""
+    fps = written(fingerprints(documents), "simhash-fps")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    stars = contracted(links(nodes, cap))
+    rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = written(rooted.join(smallest, "root").select("fp", "component_id", "root"), "simhash-named")
+    return fps.join(named, "fp", "left").select("doc_id", "row", "fp", "component_id", "root")
+
+
 def near_duplicates(documents: DataFrame, cap: int = CAP) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id of its set).
 
@@ -250,10 +261,14 @@ def near_duplicates(documents: DataFrame, cap: int = CAP) -> DataFrame:
     Repeated rows each give a row. A null doc_id is kept, and stands for its
     set only if the set has no other id. Other columns are not read.
     """
-    fps = written(fingerprints(documents), "simhash-fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
-    stars = contracted(links(nodes, cap))
-    rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-named")
-    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return components(documents, cap).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(documents: DataFrame, cap: int = CAP) -> DataFrame:
+    """The documents, all columns, one of each set: that of the smallest doc_id, then the least fingerprint and text hash."""
+    # A null id sorts last here, so it stands only for sets without another.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("m")
+    kept = written(components(documents, cap).groupBy("root").agg(first).select(F.col("m.doc_id").alias("kept_id"), F.col("m.row").alias("kept_row")), "simhash-kept")
+    keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__row") == F.col("kept_row")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "__row"]).drop("__row")
