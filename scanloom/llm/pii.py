@@ -147,11 +147,15 @@ def nearby_terms(base: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
 
 def disclosing(documents: DataFrame, n_docs: int, base: DataFrame, terms: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """(kind, value, term) of each entity and each term that reveals it, with ic and pmi in bits."""
-    pairs = written(terms.select("doc_id", "row", "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= params.support), "pii-pairs")
+    shown = terms.select("doc_id", "row", "kind", "value", "term").distinct()
+    # A term's documents number at least those that show it near any entity: most common words drop out here.
+    near = shown.select("doc_id", "row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = shown.groupBy("kind", "value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= params.support).join(near, "term")
+    pairs = written(pairs.where(F.col("both") >= F.col("n_near") * 2.0**-params.slack).drop("n_near"), "pii-pairs")
     wanted = written(pairs.select(F.col("term").alias("word")).distinct(), "pii-terms")
     # Documents that hold each wanted term, over the whole corpus.
     words = documents.select(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+").alias("words"), bitmap(wanted).alias("bits"))
-    held = words.select(F.explode(F.array_distinct(F.expr(f"filter(words, w -> {in_bitmap('w')})"))).alias("word")).join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n_term"))
+    held = words.select(F.explode(F.array_distinct(F.expr(f"filter(words, w -> {in_bitmap('w')})"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_term")).join(wanted, "word", "left_semi")
     entity = base.select("doc_id", "row", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
     rated = pairs.join(held, pairs["term"] == held["word"]).drop("word").join(entity, ["kind", "value"]).withColumn("n_docs", F.lit(n_docs))
     ic = -F.log2(F.col("n_entity") / F.col("n_docs"))
@@ -173,10 +177,11 @@ def personal_data(documents: DataFrame, params: PiiParams = PiiParams()) -> Data
     added = terms.join(revealing, ["kind", "value", "term"], "left_semi").select("doc_id", "row", F.lit(len(KINDS)).alias("kind"), "start", "end").distinct()
     # Terms that overlap base spans go: those that an earlier span reaches into, or that reach into a later one.
     spans = base.select("doc_id", "row", "kind", "start", "end").unionByName(added)
-    order = Window.partitionBy("doc_id", "row").orderBy("start", "kind")
+    order = Window.partitionBy("doc_id", "row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("doc_id", "row").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, -1)
     is_base = F.col("kind") < len(KINDS)
-    reach = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    reach = F.max(F.when(is_base, F.col("end"))).over(order)
+    ahead = F.min(F.when(is_base, F.col("start"))).over(back)
     spans = spans.withColumn("apart", (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (F.coalesce(ahead, F.col("end")) >= F.col("end"))).where(is_base | F.col("apart"))
     per_row = spans.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("all"))
     per_row = per_row.select(F.col("doc_id").alias("of"), F.col("row").alias("of_row"), "all")
