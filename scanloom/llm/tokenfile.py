@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -31,9 +32,10 @@ from scanloom.llm.common import removed, shared_path
 BLOCK_IDS = 1 << 18
 #: Distinct pre-tokens whose ids a worker remembers.
 REMEMBERED = 1_500_000
-#: Lengths of the four ids of each control byte, and their sum.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-TOTALS = LENGTHS.sum(axis=1)
+#: Marks that part from a letter or digit before them (an apostrophe needn't).
+MARKS = b".,;:!?*#%&$"
+#: Lengths of the four ids of each control byte.
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,8 @@ class _Encoder:
     """Ids of texts. What stands between ASCII white space is encoded apart, once per distinct piece.
 
     New pieces are encoded many at a time, between bars: a bar by itself is one
-    id, which no piece without a bar gives. Texts whose characters all are
+    id, which no piece without a bar gives. Marks after a word are encoded apart
+    where the tokenizer parts them anyway. Texts whose characters all are
     Latin-1 (so none combine) are lower-cased beforehand where the tokenizer
     does so itself: fewer pieces are distinct.
     """
@@ -75,6 +78,7 @@ class _Encoder:
         self.known: dict[bytes, bytes] = {}
         self.lowers = all(self._ids(c) == self._ids(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         self.bar = self._ids("|")
+        self.bounds = all(self._ids(a + m + m) == self._ids(a) + self._ids(m + m) for a in ("the", "thx", "9") for m in MARKS.decode())
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -85,6 +89,24 @@ class _Encoder:
 
     def _fresh(self, new: list[bytes]) -> dict[bytes, bytes]:
         """The ids of pieces, each once."""
+        made: dict[bytes, bytes] = {}
+        if self.bounds:  # a word with marks after it is the word's ids and the marks' ids
+            split = {}
+            for p in new:
+                word = p.rstrip(MARKS)
+                if word and word != p and word[-1:].isalnum():
+                    split[p] = (word, p[len(word) :])
+            if split:
+                parts = set(chain.from_iterable(split.values()))
+                known = self.known
+                found = {p: known[p] for p in parts if p in known}
+                found |= self._encoded_once([p for p in {*parts, *(p for p in new if p not in split)} if p not in found])
+                made = {p: found[a] + found[b] for p, (a, b) in split.items()}
+                made |= {p: found[p] for p in new if p not in made}
+                return made
+        return self._encoded_once(new)
+
+    def _encoded_once(self, new: list[bytes]) -> dict[bytes, bytes]:
         made: dict[bytes, bytes] = {}
         plain = [p for p in new if b"|" not in p] if len(self.bar) == 1 else []
         for at in range(0, len(plain), 512):
@@ -130,22 +152,24 @@ def encoder(vocabulary: Vocabulary) -> _Encoder:
 def packed(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ranks below 2**32."""
     r = ranks.astype("<u4")
-    extra = (r > 0xFF).astype(np.uint8) + (r > 0xFFFF) + (r > 0xFFFFFF)
-    control = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    control[: len(r)] = extra
-    control = (control.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= extra[:, None]]
-    return control.tobytes(), data.tobytes()
+    width = max(1, (int(r.max()).bit_length() + 7) // 8) if len(r) else 1
+    extra = np.zeros(-(-len(r) // 4) * 4, np.uint8)
+    used = np.ones((len(r), width), bool)
+    for k in range(1, width):
+        np.greater(r, (1 << 8 * k) - 1, out=used[:, k])
+        extra[: len(r)] += used[:, k]
+    control = extra[0::4] | extra[1::4] << 2 | extra[2::4] << 4 | extra[3::4] << 6
+    return control.tobytes(), r.view(np.uint8).reshape(-1, 4)[:, :width][used].tobytes()
 
 
 def unpacked(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n ranks of two streams, by table lookup of the control bytes."""
     codes = np.frombuffer(control, np.uint8)
     lengths = LENGTHS[codes].reshape(-1)[:n]
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:n]
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = raw[starts].astype(np.uint32)
-    for k in range(1, 4):
+    for k in range(1, int(lengths.max(initial=1))):
         longer = np.flatnonzero(lengths > k)
         out[longer] |= raw[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
@@ -216,7 +240,7 @@ def write_tokens(documents: DataFrame, vocabulary: Vocabulary, path: str) -> Non
     spark = documents.sparkSession
     id_type = documents.schema["doc_id"].dataType.simpleString()
     raw_path = shared_path(spark, "tokenfile-raw")
-    tokenised(documents, vocabulary).write.option("compression", "zstd").parquet(raw_path)
+    tokenised(documents, vocabulary).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(raw_path)
     raw = spark.read.schema(RAW.format(id_type)).parquet(raw_path)
     by_rank = ranked(raw, vocabulary)
     rank_of = np.empty(len(by_rank), np.uint32)
