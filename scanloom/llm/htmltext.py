@@ -63,11 +63,15 @@ LABELLED = (
     (60, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (35, 0.1, 2, 1.0, 50, 0.0, 0, 0, 0, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (22, 0.2, 30, 0.1, 3, 0.0, 0, 0, 0, 0, 1),
     (12, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 35, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 1, 1.0, 60, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 50, 0.0, 65, 0.0, 0, 0, 0, 1, 1),
     (18, 0.0, 5, 0.0, 25, 0.0, 0, 0, 0, 0, 1), (28, 0.0, 8, 0.0, 1, 0.0, 0, 0, 0, 0, 1),
+    (2, 0.0, 60, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 80, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 45, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 33, 0.0, 38, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 90, 0.0, 150, 0.0, 0, 0, 0, 0, 1),
+    (60, 0.0, 2, 0.0, 3, 0.67, 0, 0, 0, 0, 1), (70, 0.0, 1, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (45, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (55, 0.05, 3, 1.0, 2, 0.0, 0, 0, 0, 0, 1), (100, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     # or all there is
     (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
     # and there neither short text among short text nor runs of links
     (3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (20, 0.9, 15, 0.8, 12, 0.9, 0, 0, 0, 0, 0), (40, 0.7, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0),
     (5, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0), (8, 0.5, 6, 0.5, 5, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (7, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1, 0),
+    (3, 0.67, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.6, 70, 0.0, 65, 0.0, 0, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 0),
+    (5, 0.0, 60, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (4, 0.0, 1, 1.0, 5, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
 )
 
 
