@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, pii, quality, simhash, tokenfile
+from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, pii, quality, simhash, tokencount, tokenfile
 from scanloom.llm.common import shared_path, table
 
 
@@ -25,6 +25,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents, weights)
 
 
+def op3_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate sets of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -66,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
+    "op3_tokencount": op3_tokencount,
     "op4_simhash": op4_simhash,
     "op5_tokenfile": op5_tokenfile,
     "op6_decontaminate": op6_decontaminate,

@@ -16,7 +16,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, pii, quality, simhash, tokenfile
+from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, pii, quality, simhash, tokencount, tokenfile
 from scanloom.llm.common import table, written
 from scanloom.llm.queries import ORACLES, QUERIES
 
@@ -128,6 +128,45 @@ def test_quality_learns_from_no_held_out_row(spark, documents):
     assert (quality.fit_quality(documents, labels) == quality.fit_quality(documents, turned)).all()
 
 
+# 3: token counts
+
+
+def segmented(word, model):
+    """Fewest tokens of the best segmentation, without sharing anything."""
+    text = tokencount.MARK + word
+    best = [(0.0, 0)]
+    for i in range(1, len(text) + 1):
+        char, size = text[i - 1], len(text[i - 1].encode())
+        options = [(best[j][0] + model.scores[text[j:i]], -best[j][1] - 1) for j in range(i) if text[j:i] in model.scores]
+        if char not in model.scores:
+            options.append((best[i - 1][0] + model.unknown * size, -best[i - 1][1] - size))
+        score, n = max(options)
+        best.append((score, -n))
+    return best[-1][1]
+
+
+def test_token_counts_match_brute_force(spark, documents):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = tokencount.load_model(path)
+    known: dict[str, int] = {}
+
+    def total(words):
+        for w in words:
+            if w not in known:
+                known[w] = segmented(w, model)
+        return sum(known[w] for w in words)
+
+    for docs in both(spark, documents):
+        got = tokencount.token_counts(docs, path)
+        assert rows_of(got, "doc_id", "n_words", "n_tokens") == Counter((r.doc_id, len(words_of(r.text)), total(words_of(r.text))) for r in docs.collect())
+
+
+def test_terminal_counts_of_small_models():
+    model = tokencount.UnigramModel.of(["ab", "abc", "c", "a", "b", "▁", "▁a"])
+    words = ["", "a", "ab", "abc", "abcc", "b", "zz", "é", "abab", "ab" * 50]
+    assert tokencount.terminal_counts(words, model) == {w: segmented(w, model) for w in words}
+
+
 # 4: near-duplicates
 
 
@@ -416,6 +455,7 @@ def test_mixed_documents_hold_the_words_taken(spark, documents):
 def test_empty_tables(spark, tmp_path):
     none = odd(spark).limit(0)
     assert licenses.license_scan(none, F.col("source")).count() == 0
+    assert tokencount.token_counts(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
     assert simhash.near_duplicates(none).count() == simhash.deduplicated(none).count() == 0
     assert hostrules.host_verdicts(none).count() == pii.personal_data(none).count() == mixing.mixed_documents(none).count() == 0
     tokenfile.write_tokens(none, tokenfile.Vocabulary(public_tokenizers.path("word_bpe_49k.json")), f"{tmp_path}/none")
