@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, pii, quality, simhash, tokencount, tokenfile
+from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, oracles, pii, quality, simhash, tokencount, tokenfile
 from scanloom.llm.common import shared_path, table
 
 
@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op6_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
