@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,17 @@ LOCAL_SHARED_DIR = "/tmp/checkpoints/scanloom"
 BITMAP_LONGS = 1 << 14
 
 
+_KEPT: dict[Any, Any] = {}
+
+
+def worker_cache(name: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task for one operator; another operator's is dropped first."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of ``sf_dir``, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanloom.llm.common import worker_cache
+
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SCALE = 24.0
 BITS = 18
@@ -58,9 +60,6 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def _mixed(x: np.ndarray, bits: int) -> np.ndarray:
     """The upper ``bits`` bits of a multiplicative hash."""
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
@@ -70,10 +69,11 @@ def token_slots(text: str, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.nd
     """(slots of single tokens, of pairs, of repeats), a chunk of the text at a time."""
     last: np.ndarray | None = None
     tokens: list[str] = TOKEN.findall(text.lower())
+    hashes = worker_cache("quality", _Hashes)
     repeat = int(_mixed(np.array([1], np.uint64), bits)[0])
     for at in range(0, len(tokens), CHUNK):
         part = tokens[at : at + CHUNK]
-        h = np.fromiter(map(_HASHES.__getitem__, part), np.uint64, len(part))
+        h = np.fromiter(map(hashes.__getitem__, part), np.uint64, len(part))
         before = np.concatenate([last, h[:-1]]) if last is not None else h[:-1]
         here = h if last is not None else h[1:]
         pairs = _mixed(before * np.uint64(0xC2B2AE3D27D4EB4F) + here + np.uint64(7), bits)

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from scanloom.llm.common import worker_cache
+
 MARK = "▁"
 #: Distinct pre-tokens whose counts a worker remembers.
 REMEMBERED = 1_500_000
@@ -87,9 +89,6 @@ def terminal_counts(words: list[str], model: UnigramModel) -> dict[str, int]:
     return counts
 
 
-_KNOWN: dict[str, dict[bytes, int]] = {}
-
-
 def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
     """Per document: doc_id, n_words (pre-tokens) and n_tokens of its whole text.
 
@@ -98,7 +97,7 @@ def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = load_model(vocabulary), _KNOWN.setdefault(vocabulary, {})
+        model, known = load_model(vocabulary), worker_cache(("token counts", vocabulary), dict)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

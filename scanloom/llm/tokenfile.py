@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import removed, shared_path
+from scanloom.llm.common import removed, shared_path, worker_cache
 
 #: Ids of a block, at least, unless it is a shard's last; a document is never cut.
 BLOCK_IDS = 1 << 18
@@ -62,8 +62,9 @@ def _latin(text: str) -> bool:
 class _Encoder:
     """Ids of texts. What stands between ASCII white space is encoded apart, once per distinct piece.
 
-    New pieces are encoded many at a time, between bars: a bar by itself is one
-    id, which no piece without a bar gives. Marks after a word are encoded apart
+    New pieces are encoded many at a time: words of letters side by side, told
+    apart by the ids that end a word; others between bars, as a bar by itself is
+    one id, which no piece without a bar gives. Marks after a word are encoded apart
     where the tokenizer parts them anyway. Texts whose characters all are
     Latin-1 (so none combine) are lower-cased beforehand where the tokenizer
     does so itself: fewer pieces are distinct.
@@ -78,8 +79,25 @@ class _Encoder:
         self.known: dict[bytes, bytes] = {}
         self.lowers = all(self._ids(c) == self._ids(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         self.bar = self._ids("|")
+        self.lean, self.ends = self._lean()
         self.bounds = all(self._ids(a + m + m) == self._ids(a) + self._ids(m + m) for a in ("the", "thx", "9") for m in MARKS.decode())
 
+    def _lean(self):
+        """For words of Latin-1 letters in lower case: the same model without normalising, and which ids end a word."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        lean = Tokenizer(self.tokenizer.model)
+        lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        ends = np.zeros(1 << 16 if self.dtype == "<u2" else 1 << 20, bool)
+        if not suffix or not self.lowers:
+            return None, ends
+        ends[[k for piece, k in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+        letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c) == chr(c).lower()]
+        trial = [*letters, *(a + b for a in letters for b in "aez\xe9\xdf"), "thequickbrownfox"]
+        same = all(self._ids(w) == lean.encode(w, add_special_tokens=False).ids for w in trial)
+        return (lean if same else None), ends
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -108,10 +126,21 @@ class _Encoder:
 
     def _encoded_once(self, new: list[bytes]) -> dict[bytes, bytes]:
         made: dict[bytes, bytes] = {}
-        plain = [p for p in new if b"|" not in p] if len(self.bar) == 1 else []
-        for at in range(0, len(plain), 512):
-            some = plain[at : at + 512]
-            ids = np.array(self._ids(b" | ".join(some).decode()), self.dtype)
+        if self.lean is not None:
+            words = [p for p in new if p.isalpha() and p.islower()]  # of ASCII letters
+            words += [p for p in new if not p.isascii() and (t := p.decode()).isalpha() and t == t.lower() and _latin(t)]
+            for at in range(0, len(words), 4096):
+                some = words[at : at + 4096]
+                lines = [b" ".join(some[k : k + 256]).decode() for k in range(0, len(some), 256)]
+                ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.lean.encode_batch_fast(lines, add_special_tokens=False)])
+                stops = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+                if len(stops) == len(some):
+                    raw, stops = ids.tobytes(), stops.tolist()
+                    made.update(zip(some, (raw[a:b] for a, b in zip([0, *stops], stops))))
+        plain = [p for p in new if p not in made and b"|" not in p] if len(self.bar) == 1 else []
+        chunks = [plain[at : at + 128] for at in range(0, len(plain), 128)]
+        for some, encoding in zip(chunks, self.tokenizer.encode_batch_fast([b" | ".join(c).decode() for c in chunks], add_special_tokens=False)):
+            ids = np.array(encoding.ids, self.dtype)
             cuts = np.flatnonzero(ids == self.bar[0])
             if len(cuts) == len(some) - 1:
                 raw, size = ids.tobytes(), ids.itemsize
@@ -125,28 +154,18 @@ class _Encoder:
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Each text's ids with the end id, as little-endian bytes."""
         pieces = [self._pieces(t) for t in texts]
-        fresh = self._fresh(list(set().union(*pieces).difference(self.known)))
-        known = self.known
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-            find = known.__getitem__
-        else:
-
-            def find(p: bytes) -> bytes:
-                got = known.get(p)
-                return fresh[p] if got is None else got
-
-        return [b"".join(map(find, p)) + self.end for p in pieces]
-
-
-_ENCODERS: dict[Vocabulary, _Encoder] = {}
+        distinct = set().union(*pieces)
+        here = dict(zip(distinct, map(self.known.get, distinct)))  # small, so that each mention finds its ids in cache
+        fresh = self._fresh([p for p, ids in here.items() if ids is None])
+        here.update(fresh)
+        if len(self.known) + len(fresh) <= REMEMBERED:
+            self.known.update(fresh)
+        return [b"".join(map(here.__getitem__, p)) + self.end for p in pieces]
 
 
 def encoder(vocabulary: Vocabulary) -> _Encoder:
     """This process's encoder of a vocabulary."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = _Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    return worker_cache(vocabulary, lambda: _Encoder(vocabulary))
 
 
 def packed(ranks: np.ndarray) -> tuple[bytes, bytes]:
