@@ -8,7 +8,8 @@ A set of images is one relation of pixels with the columns
 that an image lacks has no rows. The same relation by scanline has ``row
 ARRAY<DOUBLE>`` in place of x and v. Every operator takes and gives one of these,
 lazily, for any number of images at once; ``img`` (and ``chan``) are the keys
-that partition it.
+that partition it. Operators that look along scanlines also take images by
+scanline, as files are read, and then need not gather them.
 """
 
 from __future__ import annotations
@@ -47,13 +48,17 @@ def where_planes(px: DataFrame, planes: Column, value: Column) -> DataFrame:
 
 
 def to_rows(px: DataFrame) -> DataFrame:
-    """Pixels gathered to scanlines: one shuffle, by scanline."""
+    """Pixels gathered to scanlines: one shuffle, by scanline. What comes by scanline passes."""
+    if "row" in px.columns:
+        return px.select(*PLANE, "y", "row")
     pairs = F.sort_array(F.collect_list(F.struct("x", "v")))
     return px.groupBy(*PLANE, "y").agg(pairs.alias("p")).select(*PLANE, "y", F.transform("p", lambda s: s["v"]).alias("row"))
 
 
 def to_px(rows: DataFrame) -> DataFrame:
-    """Scanlines spread to pixels, without a shuffle."""
+    """Scanlines spread to pixels, without a shuffle. Pixels pass."""
+    if "row" not in rows.columns:
+        return rows.select(*PIXEL, "v")
     return rows.select(*PLANE, "y", F.posexplode("row").alias("x", "v"))
 
 

@@ -70,7 +70,7 @@ def _rows_apply(px: DataFrame, planes: Column, cell) -> DataFrame:
     """Cells of the planes from the row above, their own and the one below: one shuffle, by plane."""
     rows = to_rows(px.where(planes)).withColumns({"up": F.lag("row").over(rows_down()), "down": F.lead("row").over(rows_down())})
     made = rows.select(*PLANE, "y", F.transform(F.sequence(F.lit(0), F.col("w") - 1), cell).alias("row"))
-    return to_px(made).unionByName(px.where(~planes))
+    return to_px(made).unionByName(to_px(px.where(~planes)))
 
 
 def convolve_3x3(px: DataFrame, a: float, b: float, c: float, d: float) -> DataFrame:
@@ -105,7 +105,7 @@ def laplacian(px: DataFrame, k: float = -0.25) -> DataFrame:
         return F.when(centre.isNotNull() | (across.isNull() & along.isNull()), value)
 
     made = rows.select(*PLANE, "y", F.transform(F.sequence(F.lit(0), F.col("w") - 1), cell).alias("row"))
-    return to_px(made).unionByName(px.where(~colour()))
+    return to_px(made).unionByName(to_px(px.where(~colour())))
 
 
 def dither_cumulative(px: DataFrame, step: float) -> DataFrame:

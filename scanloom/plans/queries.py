@@ -251,6 +251,11 @@ def _small(p: DataFrame) -> DataFrame:
     return geometry.crop_y(geometry.crop_x(p, 0, 24), 0, 20)
 
 
+def _two(px: DataFrame) -> DataFrame:
+    """Two decimals of a solver's result."""
+    return px.withColumn("v", F.round("v", 2))
+
+
 def _solved() -> None:
     cut = "(select * from f1 where x < 24 and y < 20)"
     lap = _laplacian(cut, False)
@@ -268,9 +273,12 @@ def _solved() -> None:
     damp = 16 / (16 + 2 * 0.25 + 2 * 0.0625 + 4 * 0.015625)
     o = f"(select *, lag(s) over {_Y_LINE} + lead(s) over {_Y_LINE} g from {c3})"
     _register("deconv_halfsweep", PX, _f1(lambda p: solvers.deconvolution_halfsweep(_small(p), inverted(_small(p)), *kernel, 2)), f"select chan, y, x, case when s is not null and b is not null and (x - 1 - (2 + y)) % 2 = 0 then v + ((p + 0.5 * s + 0.25 * b - 0.125 * g) / 4 - v) * {damp!r} else v end v from {o}")
-    _register("poisson_solve", PX, _f1(lambda p: solvers.poisson_solve(pointwise.fill(_small(p), {1: 128}), scan.laplacian(_small(p)))))
+    # The solution is the image and a plane through what the guess differs by at the corners; to two decimals.
+    corner = "(select 128 - v from f1 where x = {0} and y = {1})"
+    bent = f"(1 - y / 19.0) * ((1 - x / 23.0) * {corner.format(0, 0)} + x / 23.0 * {corner.format(23, 0)}) + y / 19.0 * ((1 - x / 23.0) * {corner.format(0, 19)} + x / 23.0 * {corner.format(23, 19)})"
+    _register("poisson_solve", PX, _f1(lambda p: _two(solvers.poisson_solve(pointwise.fill(_small(p), {1: 128}), scan.laplacian(_small(p)), tol=1e-9))), f"select chan, y, x, round(v + {bent}, 2) v from {cut}")
     _register("seamless_paste", PX, lambda s, d: solvers.seamless_paste(_small(X.f3(s, d)), _small(pointwise.opaque(X.f3(s, d)))))
-    _register("deconvolve_3x3", PX, _f1(lambda p: solvers.deconvolve_3x3(scan.convolve_3x3(p, *kernel), *kernel, tol=1e-6)))
+    _register("deconvolve_3x3", PX, _f1(lambda p: _two(solvers.deconvolve_3x3(scan.convolve_3x3(p, *kernel), *kernel, tol=1e-9))), "select * from f1")
     _register("deconvolve_3x1", PX, _f1(lambda p: solvers.deconvolve_3x1(scan.convolve_3x3(p, 4, -1, 0, 0), -1, 4, -1)), "select * from f1")
     _register("deconvolve_1x3", PX, _f1(lambda p: solvers.deconvolve_1x3(scan.convolve_3x3(p, 4, 0, -1, 0), -1, 4, -1)), "select * from f1")
     _register("deconvolve_vector", "i v", lambda s, d: solvers.deconvolve_vector(scan.convolve_vector(X.f5(s, d), 1, 4, 1), 1, 4, 1), "select * from f5")
