@@ -147,6 +147,18 @@ def _write(m: Machine, name: str) -> None:
         pnm.write_images(item, name).collect()
 
 
+def _page_number(n: float) -> int:
+    if not 0 <= n < pnm.PAGES:
+        raise PipelineError("pag: the number is too large")
+    return int(n)
+
+
+def _positive(x: float) -> float:
+    if x <= 0:
+        raise PipelineError("ex: the height must be positive")
+    return x
+
+
 def _fill_value(token: str) -> float | None:
     if token == "-":
         return None
@@ -179,8 +191,8 @@ def _command(m: Machine, name: str, args: list[str]) -> int:
         "splitx": lambda n: _split(m, geometry.split_x(m.top(), n)),
         "splity": lambda n: _split(m, geometry.split_y(m.top(), n)),
         "pois": lambda t: m.merge(lambda g, p: solvers.poisson_solve(g, p, tol=t)),
-        "pag": lambda n: m.replace(lambda p: p.withColumn("pag", F.lit(int(n)))),
-        "ex": lambda h: setattr(m, "ex", h),
+        "pag": lambda n: m.replace(lambda p: p.withColumn("pag", F.lit(_page_number(n)))),
+        "ex": lambda h: setattr(m, "ex", _positive(h)),
         "test": lambda n: m.replace(lambda p: scan.convolve_3x3(p, 4, -1, -1, 0)),
     }
     none: dict[str, Callable[[], object]] = {

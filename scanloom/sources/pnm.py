@@ -6,6 +6,8 @@ decoded plane stays one binary until scanlines are asked for.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,10 @@ from scanloom.functions import IMAGE, PLANE, ROWS_SCHEMA, to_rows
 
 #: Tuple types of PAM files and their depths.
 TUPLE_TYPES = {"GRAYSCALE": 1, "GRAYSCALE_ALPHA": 2, "RGB": 3, "RGB_ALPHA": 4}
+#: Colour types of PNG files by depth.
+PNG_TYPES = {1: 0, 2: 4, 3: 2, 4: 6}
+#: Page numbers are smaller.
+PAGES = 10_000
 #: Planes in file order, by depth.
 FILE_PLANES = {1: (1,), 2: (1, 0), 3: (1, 2, 3), 4: (1, 2, 3, 0)}
 
@@ -82,15 +88,36 @@ def encode(planes: dict[int, np.ndarray]) -> bytes:
     return head.encode() + samples.tobytes()
 
 
+def encode_png(planes: dict[int, np.ndarray]) -> bytes:
+    """A PNG file of the planes 0 to 3, with samples as in ``encode``."""
+    depth = sum(c in planes for c in range(4))
+    samples = np.stack([np.clip(np.nan_to_num(planes[c]), 0, 255).astype(np.uint8) for c in FILE_PLANES[depth]], axis=-1)
+    h, w, _ = samples.shape
+    lines = np.zeros((h, 1 + w * depth), np.uint8)  # each line begins with its filter: none
+    lines[:, 1:] = samples.reshape(h, -1)
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, PNG_TYPES[depth], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
 def page_number(path: Column) -> Column:
     """The first run of digits before a point that is not all zeros; else the digits at the end; else 0."""
     before, last = F.regexp_extract(path, r"([0-9]*[1-9][0-9]*)\.", 1), F.regexp_extract(path, "([0-9]+)$", 1)
     return F.coalesce(F.when(before != "", before.try_cast("int")), F.when(last != "", last.try_cast("int")), F.lit(0))
 
 
+def _page(path: Column) -> Column:
+    """The page number of a file's own name; an error if it is too large."""
+    n = page_number(F.element_at(F.split(path, "/"), -1))
+    return F.when(n < PAGES, n).otherwise(F.raise_error(F.concat(F.lit("page number too large: "), path)).cast("int"))
+
+
 def read_images(files: DataFrame) -> DataFrame:
     """Scanlines of PNM and PAM files given as rows of path and content; img is a hash of the path."""
-    keyed = files.select(F.xxhash64("path").alias("img"), page_number(F.element_at(F.split("path", "/"), -1)).alias("pag"), "content")
+    keyed = files.select(F.xxhash64("path").alias("img"), _page(F.col("path")).alias("pag"), "content")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,7 +139,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def from_spark_images(images: DataFrame) -> DataFrame:
     """Scanlines of the rows of Spark's image source, whose samples stand in the order blue, green, red, alpha."""
     flat = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    keyed = flat.select(F.xxhash64("origin").alias("img"), page_number(F.element_at(F.split("origin", "/"), -1)).alias("pag"), "height", "width", "nChannels", "data")
+    keyed = flat.select(F.xxhash64("origin").alias("img"), _page(F.col("origin")).alias("pag"), "height", "width", "nChannels", "data")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -124,13 +151,13 @@ def from_spark_images(images: DataFrame) -> DataFrame:
     return keyed.mapInPandas(rows, ROWS_SCHEMA)
 
 
-def encoded(px: DataFrame) -> DataFrame:
-    """img, pag and content: each image as the bytes of a PNM or PAM file."""
+def encoded(px: DataFrame, png: bool = False) -> DataFrame:
+    """img, pag and content: each image as the bytes of a PNM or PAM file, or of a PNG file."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("y")
         planes = {int(c): np.stack(g["row"].to_numpy()) for c, g in rows.groupby("chan")}
-        return pd.DataFrame({"img": [rows["img"].iloc[0]], "pag": [rows["pag"].iloc[0]], "content": [encode(planes)]})
+        return pd.DataFrame({"img": [rows["img"].iloc[0]], "pag": [rows["pag"].iloc[0]], "content": [encode_png(planes) if png else encode(planes)]})
 
     rows = to_rows(px.where("chan between 0 and 3")).select(*IMAGE, "chan", "y", "row")
     return rows.groupBy("img").applyInPandas(run, "img long, pag int, content binary")
@@ -141,9 +168,11 @@ def write_images(px: DataFrame, template: str) -> DataFrame:
 
     Executors write with Hadoop's file systems only through Spark's own writers,
     so this writes to paths that every executor can open; elsewhere write the
-    rows of ``encoded`` as Parquet.
+    rows of ``encoded`` as Parquet. JPEG files need a codec that is not here.
     """
-    named = encoded(px).withColumn("path", F.format_string(template, "pag") if "%" in template else F.lit(template))
+    if template.lower().endswith((".jpg", ".jpeg")):
+        raise ValueError("JPEG files can be read, not written")
+    named = encoded(px, template.lower().endswith(".png")).withColumn("path", F.format_string(template, "pag") if "%" in template else F.lit(template))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -160,6 +160,12 @@ def test_codec(spark, tmp_path):
     for bad in (b"P4\n1 1\n", b"P5\n1 1\n65535\n\0\0", b"P5\n2 2\n255\nabc", b"P5\n2"):
         with pytest.raises(ValueError):
             pnm.decode(bad)
+    for chans in ((1,), (1, 2, 3), (0, 1, 2, 3)):
+        (tmp_path / "p3.png").write_bytes(pnm.encode_png({c: planes[c] for c in chans}))
+        got = to_px(pnm.load(spark, f"{tmp_path}/p3.png"))
+        assert all((plane(got, c) == planes[c]).all() for c in chans)
+    with pytest.raises(ValueError):
+        pnm.write_images(image(spark, GRAY), "x.jpg")
     written = pnm.write_images(image(spark, [[-5, 300.7, 9.9]], pag=12), f"{tmp_path}/p%03d.pgm").collect()
     assert written[0].path.endswith("p012.pgm")
     back = pnm.load(spark, written[0].path)
@@ -185,7 +191,7 @@ def test_stack_language(spark, tmp_path):
     assert pnm.decode(m.output[0])[1].shape == (13, 11)
     m = pipeline.run(spark, [source, *"splitx 0.5 swap pop statistics".split()])
     assert len(m.output[0]) == 1
-    for wrong in ("pop", "nonsense", "bin", "image 9 1 1", "unpop"):
+    for wrong in ("pop", "nonsense", "bin", "image 9 1 1", "unpop", "image 1 1 1 pag 10000", "ex 0"):
         with pytest.raises(ValueError):
             pipeline.run(spark, wrong.split())
     assert [pipeline.token_kind(t) for t in ("0.5", "a.png", "7", "-", "w", None, ".0")] == ["d", "f", "i", "-", "w", "0", "d"]
