@@ -34,6 +34,8 @@ BLOCK_IDS = 1 << 18
 REMEMBERED = 1_500_000
 #: Marks that part from a letter or digit before them (an apostrophe needn't).
 MARKS = b".,;:!?*#%&$"
+#: Documents that are encoded together: few enough that their distinct pieces stay in a processor's cache.
+TOGETHER = 64
 #: Lengths of the four ids of each control byte.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
@@ -194,7 +196,8 @@ def unpacked(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-RAW = "shard int, block int, within long, doc_ids array<{0}>, lengths array<long>, ids binary"
+#: Rows of blocks, and one row per shard with the counts of all ids in place of a block.
+RAW = "shard int, block int, within long, doc_ids array<{0}>, lengths array<long>, ids binary, counts binary"
 BLOCKS = "shard int, block int, start long, doc_ids array<{0}>, lengths array<long>, n_ids long, control binary, data binary"
 
 
@@ -208,24 +211,33 @@ def tokenised(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         block, within, held, ids, lengths = 0, 0, 0, [], []
         made: list[bytes] = []
 
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"shard": pa.array([0], pa.int32()), "block": pa.array([block], pa.int32()), "within": pa.array([within], pa.int64()), "doc_ids": pa.array([ids], pa.list_(kind)), "lengths": pa.array([lengths], pa.list_(pa.int64())), "ids": pa.array([b"".join(made)], pa.binary())})
+        def row(raw: bytes | None, counts: bytes | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"shard": pa.array([0], pa.int32()), "block": pa.array([block], pa.int32()), "within": pa.array([within], pa.int64()), "doc_ids": pa.array([ids], pa.list_(kind)), "lengths": pa.array([lengths], pa.list_(pa.int64())), "ids": pa.array([raw], pa.binary()), "counts": pa.array([counts], pa.binary())})
+
+        def full() -> bytes:
+            raw = b"".join(made)
+            total[:] += np.bincount(np.frombuffer(raw, vocabulary.dtype), minlength=vocabulary.size)
+            return raw
 
         kind = pa.int64()
+        total = np.zeros(vocabulary.size, np.int64)
         for batch in batches:
             kind = batch["doc_id"].type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
                 for d, b in zip(part["doc_id"].to_pylist(), encode.encoded(part["text"].to_pylist())):
                     ids.append(d)
                     lengths.append(len(b) // width)
                     made.append(b)
                     held += lengths[-1]
                     if held >= BLOCK_IDS:
-                        yield row()
+                        yield row(full())
                         block, within, held, ids, lengths, made = block + 1, within + held, 0, [], [], []
         if ids:
-            yield row()
+            yield row(full())
+        ids, lengths = [], []
+        if total.any():
+            yield row(None, total.tobytes())
 
     made = ordered.mapInArrow(blocks, RAW.format(id_type))
     return made.withColumn("shard", F.spark_partition_id())
@@ -234,15 +246,16 @@ def tokenised(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def ranked(raw: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """All ids of the vocabulary by falling corpus frequency, ties by id."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary.size, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                total += np.bincount(np.frombuffer(ids.as_buffer(), vocabulary.dtype), minlength=vocabulary.size)
+            for counts in batch["counts"]:
+                total += np.frombuffer(counts.as_buffer(), np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used.astype(np.int32)), "n": pa.array(total[used])})
 
-    sums = raw.select("ids").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    counts = raw.select("counts").where("counts is not null")
+    sums = counts.mapInArrow(summed, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     n = np.zeros(vocabulary.size, np.int64)
     for r in sums:
         n[r.id] = r.n
@@ -259,9 +272,10 @@ def write_tokens(documents: DataFrame, vocabulary: Vocabulary, path: str) -> Non
     spark = documents.sparkSession
     id_type = documents.schema["doc_id"].dataType.simpleString()
     raw_path = shared_path(spark, "tokenfile-raw")
-    tokenised(documents, vocabulary).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(raw_path)
+    tokenised(documents, vocabulary).write.option("compression", "uncompressed").parquet(raw_path)
     raw = spark.read.schema(RAW.format(id_type)).parquet(raw_path)
     by_rank = ranked(raw, vocabulary)
+    raw = raw.where("counts is null").drop("counts")
     rank_of = np.empty(len(by_rank), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)  # one number per id of the vocabulary
