@@ -97,9 +97,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that hold no window of the benchmark."""
-    bad = written(contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct(), "decontam-bad")
+    bad = written(contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("row").alias("__bad_row")).distinct(), "decontam-bad")
     keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.col("__row") == F.col("bad_row")), "left_anti").drop("__row")
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (F.col("__row") == F.col("__bad_row")), "left_anti").drop("__row")
 
 
 #: The same in DuckDB's SQL: every window of every document against every window of every item.

@@ -158,10 +158,10 @@ def mixed_documents(documents: DataFrame, params: MixParams = MixParams()) -> Da
     whole = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1))).cast("int")
     again = Window.partitionBy("of", "order").orderBy("begin")
     plan = sources.where("taken > 0").select(F.col("doc_id").alias("of"), F.col("order").alias("order"), "begin", "size", whole.alias("whole"), F.array(*ranges).alias("ranges"))
-    plan = plan.select("of", "order", F.row_number().over(again).alias("nth"), F.struct("size", "whole", "ranges").alias("__plan"))
+    plan = plan.select(F.col("of").alias("__of"), F.col("order").alias("__of_order"), F.row_number().over(again).alias("__of_nth"), F.struct("size", "whole", "ranges").alias("__plan"))
     plan = written(plan, "mixing-plan")
     keyed = documents.withColumn("__order", F.xxhash64("doc_id", "text", F.lit(params.seed))).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__order").orderBy(F.lit(0))))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("__order") == F.col("order")) & (F.col("__nth") == F.col("nth")))
+    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__order") == F.col("__of_order")) & (F.col("__nth") == F.col("__of_nth")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

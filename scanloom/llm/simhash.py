@@ -268,7 +268,7 @@ def deduplicated(documents: DataFrame, cap: int = CAP) -> DataFrame:
     """The documents, all columns, one of each set: that of the smallest doc_id, then the least fingerprint and text hash."""
     # A null id sorts last here, so it stands only for sets without another.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("m")
-    kept = written(components(documents, cap).groupBy("root").agg(first).select(F.col("m.doc_id").alias("kept_id"), F.col("m.row").alias("kept_row")), "simhash-kept")
+    kept = written(components(documents, cap).groupBy("root").agg(first).select(F.col("m.doc_id").alias("__kept_id"), F.col("m.row").alias("__kept_row")), "simhash-kept")
     keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__row") == F.col("kept_row")), "left_semi")
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__row") == F.col("__kept_row")), "left_semi")
     return joined.dropDuplicates(["doc_id", "__row"]).drop("__row")

@@ -21,13 +21,13 @@ from scanloom.llm.common import table, written
 from scanloom.llm.queries import ORACLES, QUERIES
 
 #: Nulls, empty and long texts, ties, repeated rows, null ids, and columns whose names operators use themselves.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, score double, n_words string, shard int, term string, `key` string, fp string, size int, kept int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, score double, n_words string, shard int, term string, `key` string, fp string, size int, kept int, kept_id int, bad_row int, `of` int, `order` int, nth int"
 LONG = "word other " * 20_000 + "Licensed under the Apache License, Version 2.0. a@b.example 10.0.0.1"
 
 
 def odd(spark):
     texts = [(1, None), (2, ""), (2, ""), (3, " \t\n"), (None, "one two three four five"), (None, None), (4, "é ÀB ß"), (5, LONG), (5, LONG), (6, LONG + "!"), (7, "one two three four five"), (8, "x"), (8, "y z\x85w")]
-    extra = (None, 7, 0.5, "n", 3, "t", "k", "f", 9, 0)
+    extra = (None, 7, 0.5, "n", 3, "t", "k", "f", 9, 0, 1, 2, 3, 4, 5)
     rows = [(i, t, "en", [None, "a", "b"][k % 3], *extra[:1], *extra[1:]) for k, (i, t) in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA)
 
