@@ -55,6 +55,11 @@ def to_rows(px: DataFrame) -> DataFrame:
     return px.groupBy(*PLANE, "y").agg(pairs.alias("p")).select(*PLANE, "y", F.transform("p", lambda s: s["v"]).alias("row"))
 
 
+def to_plane_rows(px: DataFrame) -> DataFrame:
+    """Scanlines, each plane's in one partition: for windows over a plane's scanlines, which then need no shuffle of their own."""
+    return to_rows(px.repartition("img", "chan"))
+
+
 def to_px(rows: DataFrame) -> DataFrame:
     """Scanlines spread to pixels, without a shuffle. Pixels pass."""
     if "row" not in rows.columns:

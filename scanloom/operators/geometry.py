@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.functions import PIXEL, PLANE, sized, to_px, to_rows
+from scanloom.functions import PIXEL, PLANE, sized, to_plane_rows, to_px, to_rows
 
 
 def _ends(a: float, b: float, size: Column) -> tuple[Column, Column]:
@@ -132,7 +132,7 @@ def double(px: DataFrame, sharpness: float = 0.0) -> DataFrame:
     """Twice the size: each sample four times, weighted with its nearest neighbours (clamped at the edges)."""
     a, b, c = (s + (t - s) * sharpness for s, t in ((9 / 16, 8 / 15), (3 / 16, 2 / 15), (1 / 16, 3 / 15)))
     down = Window.partitionBy("img", "chan").orderBy("y")
-    rows = to_rows(px).withColumns({"up": F.coalesce(F.lag("row").over(down), "row"), "down": F.coalesce(F.lead("row").over(down), "row")})
+    rows = to_plane_rows(px).withColumns({"up": F.coalesce(F.lag("row").over(down), "row"), "down": F.coalesce(F.lead("row").over(down), "row")})
 
     def line(other: str) -> Column:
         def cell(x: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.functions import PLANE, colour, not_selection, rnd, to_px, to_rows, where_planes
+from scanloom.functions import PLANE, colour, not_selection, rnd, to_plane_rows, to_px, to_rows, where_planes
 
 
 def along():
@@ -68,7 +68,7 @@ def mean_y(px: DataFrame, d: int) -> DataFrame:
 
 def _rows_apply(px: DataFrame, planes: Column, cell) -> DataFrame:
     """Cells of the planes from the row above, their own and the one below: one shuffle, by plane."""
-    rows = to_rows(px.where(planes)).withColumns({"up": F.lag("row").over(rows_down()), "down": F.lead("row").over(rows_down())})
+    rows = to_plane_rows(px.where(planes)).withColumns({"up": F.lag("row").over(rows_down()), "down": F.lead("row").over(rows_down())})
     made = rows.select(*PLANE, "y", F.transform(F.sequence(F.lit(0), F.col("w") - 1), cell).alias("row"))
     return to_px(made).unionByName(to_px(px.where(~planes)))
 

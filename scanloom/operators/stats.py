@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanloom.functions import IMAGE, to_rows
+from scanloom.functions import IMAGE, to_plane_rows
 
 LEVELS = 256
 
@@ -41,8 +41,8 @@ def edge_histograms(px: DataFrame) -> DataFrame:
     max(a, b): by 1 (edges) and by (b - a) squared (energy). The last row and
     column begin no pair.
     """
-    rows = to_rows(px.where("chan = 1"))
-    below = Window.partitionBy("img").orderBy("y")
+    rows = to_plane_rows(px.where("chan = 1"))
+    below = Window.partitionBy("img", "chan").orderBy("y")
     pairs = rows.withColumn("down", F.lead("row").over(below)).where("down is not null and w > 1")
 
     def at(x: Column) -> Column:
@@ -88,8 +88,8 @@ def statistics(px: DataFrame) -> DataFrame:
 
 def gradient(px: DataFrame) -> DataFrame:
     """Rows of the absolute difference of each row of plane 1 and the next, 0 below their root mean square."""
-    rows = to_rows(px.where("chan = 1"))
-    steps = rows.withColumn("down", F.lead("row").over(Window.partitionBy("img").orderBy("y"))).where("down is not null")
+    rows = to_plane_rows(px.where("chan = 1"))
+    steps = rows.withColumn("down", F.lead("row").over(Window.partitionBy("img", "chan").orderBy("y"))).where("down is not null")
     steps = steps.select(*IMAGE, "chan", "y", F.zip_with("row", "down", lambda a, b: F.abs(a - b)).alias("row"))
     rms = steps.groupBy("img").agg(F.sqrt(F.sum(F.aggregate("row", F.lit(0.0), lambda s, t: s + t * t)) / (F.max("w") * (F.max("h") - 1))).alias("rms"))
     joined = steps.join(rms.withColumnRenamed("img", "of"), F.col("img") == F.col("of"))
