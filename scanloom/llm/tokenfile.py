@@ -16,8 +16,10 @@ the loss of executors.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 from zlib import crc32
 
@@ -30,12 +32,15 @@ from scanloom.llm.common import removed, shared_path, worker_cache
 
 #: Ids of a block, at least, unless it is a shard's last; a document is never cut.
 BLOCK_IDS = 1 << 18
-#: Distinct pre-tokens whose ids a worker remembers.
-REMEMBERED = 1_500_000
+#: Ids that a worker keeps of known pieces; it starts anew beyond that.
+REMEMBERED = 16_000_000
 #: Marks that part from a letter or digit before them (an apostrophe needn't).
 MARKS = b".,;:!?*#%&$"
-#: Documents that are encoded together: few enough that their distinct pieces stay in a processor's cache.
-TOGETHER = 64
+#: Documents that are encoded together.
+TOGETHER = 256
+#: Bytes of text that are looked at together.
+BUFFER = 1 << 20
+GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Lengths of the four ids of each control byte.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
 
@@ -61,9 +66,61 @@ def _latin(text: str) -> bool:
     return True
 
 
+#: A known word: its hash and bytes, and its ids' place in the pool. A level is sorted by hash.
+LEVEL = np.dtype([("hash", np.uint64), ("word", np.uint32), ("at", np.uint32), ("size", np.uint32), ("count", np.uint32)])
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_BASE, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+class _Pool:
+    """An array that grows."""
+
+    def __init__(self, dtype) -> None:
+        self.data, self.size = np.empty(1 << 16, dtype), 0
+
+    def added(self, values: np.ndarray) -> int:
+        """Put values at the end; where they begin."""
+        begin, self.size = self.size, self.size + len(values)
+        if self.size > len(self.data):
+            self.data = np.concatenate([self.data[:begin], np.empty(max(self.size, 2 * len(self.data)) - begin, self.data.dtype)])
+        self.data[begin : self.size] = values
+        return begin
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse."""
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, _BACK))
+    return up, down
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A buffer that ends in white space as an array; the places, sizes and hashes of its words, by differences of a running sum."""
+    buffer = np.frombuffer(raw, np.uint8)
+    space = _SPACE[buffer]
+    before = np.concatenate([[True], space[:-1]])
+    starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+    up, down = _powers(1 << max(21, (len(raw) - 1).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
+    hashes = (sums[ends] - sums[starts]) * down[starts]
+    return buffer, starts, ends - starts, hashes ^ (hashes >> np.uint64(29))
+
+
 class _Encoder:
     """Ids of texts. What stands between ASCII white space is encoded apart, once per distinct piece.
 
+    Distinct pieces, and what is known of them, are found by hashes in sorted
+    arrays, and every piece's bytes are compared with those of the one it is
+    taken for. Different pieces of one hash are encoded without this.
+
     New pieces are encoded many at a time: words of letters side by side, told
     apart by the ids that end a word; others between bars, as a bar by itself is
     one id, which no piece without a bar gives. Marks after a word are encoded apart
@@ -78,7 +135,8 @@ class _Encoder:
 
         self.tokenizer, self.dtype = Tokenizer.from_file(vocabulary.path), vocabulary.dtype
         self.end = np.array([vocabulary.end_id], self.dtype).tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.levels: list[np.ndarray] = []
+        self.pool, self.letters = _Pool(self.dtype), _Pool(np.uint8)
         self.lowers = all(self._ids(c) == self._ids(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
         self.bar = self._ids("|")
         self.lean, self.ends = self._lean()
@@ -103,28 +161,28 @@ class _Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _pieces(self, text: str) -> list[bytes]:
+    def _raw(self, text: str) -> bytes:
         raw = text.encode()
-        return (raw.lower() if self.lowers and _latin(text) else raw).split()
+        return raw.lower() if self.lowers and _latin(text) else raw
 
-    def _fresh(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of pieces, each once."""
-        made: dict[bytes, bytes] = {}
+    def _fresh(self, new: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        split: dict[bytes, tuple[bytes, bytes]] = {}
         if self.bounds:  # a word with marks after it is the word's ids and the marks' ids
-            split = {}
             for p in new:
                 word = p.rstrip(MARKS)
                 if word and word != p and word[-1:].isalnum():
                     split[p] = (word, p[len(word) :])
-            if split:
-                parts = set(chain.from_iterable(split.values()))
-                known = self.known
-                found = {p: known[p] for p in parts if p in known}
-                found |= self._encoded_once([p for p in {*parts, *(p for p in new if p not in split)} if p not in found])
-                made = {p: found[a] + found[b] for p, (a, b) in split.items()}
-                made |= {p: found[p] for p in new if p not in made}
-                return made
-        return self._encoded_once(new)
+        if not split:
+            made = self._encoded_once(new)
+            return [made[p] for p in new]
+        parts = list({*chain.from_iterable(split.values()), *(p for p in new if p not in split)})
+        buffer = b" ".join(parts) + b" "
+        ids, counts = self._resolved(buffer, *_words(buffer), plain=True)
+        raw, size = ids.tobytes(), ids.itemsize
+        ends = (np.cumsum(counts) * size).tolist()
+        found = {p: raw[a:b] for p, a, b in zip(parts, [0, *ends], ends)}
+        return [found[split[p][0]] + found[split[p][1]] if p in split else found[p] for p in new]
 
     def _encoded_once(self, new: list[bytes]) -> dict[bytes, bytes]:
         made: dict[bytes, bytes] = {}
@@ -153,16 +211,111 @@ class _Encoder:
             made[p] = np.array(e.ids, self.dtype).tobytes()
         return made
 
+    def _found(self, hashes: np.ndarray, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of words stand, and how many they are: -1 for words not known."""
+        at, count = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
+        for level in self.levels:
+            open_ = np.flatnonzero(count < 0)
+            place = np.minimum(np.searchsorted(level["hash"], hashes[open_]), len(level) - 1)
+            row = level[place]
+            hit = (row["hash"] == hashes[open_]) & (row["size"] == sizes[open_])
+            open_, row = open_[hit], row[hit]
+            if len(open_):
+                n = sizes[open_]
+                same = buffer[_spread(starts[open_], n)] == self.letters.data[_spread(row["word"].astype(np.int64), n)]
+                if not same.all():
+                    right = np.logical_and.reduceat(same, np.cumsum(n) - n)
+                    open_, row = open_[right], row[right]
+                at[open_], count[open_] = row["at"], row["count"]
+        return at, count
+
+    def _remembered(self, hashes: np.ndarray, words: list[bytes], ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Put words (in order of hash) and their ids in the pools; small levels join larger ones."""
+        rows = np.zeros(len(words), LEVEL)
+        rows["hash"], rows["size"] = hashes, np.fromiter(map(len, words), np.int64, len(words))
+        rows["count"] = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.dtype).itemsize
+        counts, sizes = rows["count"].astype(np.int64), rows["size"].astype(np.int64)
+        rows["at"] = self.pool.added(np.frombuffer(b"".join(ids), self.dtype)) + np.cumsum(counts) - counts
+        rows["word"] = self.letters.added(np.frombuffer(b"".join(words), np.uint8)) + np.cumsum(sizes) - sizes
+        self.levels.append(rows)
+        while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
+            both = np.concatenate(self.levels[-2:])
+            self.levels[-2:] = [both[np.argsort(both["hash"], kind="stable")]]
+        return rows["at"].astype(np.int64), counts
+
+    def _resolved(self, raw: bytes, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words of a buffer, one after the other, and how many each word has."""
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        alike = sizes == sizes[first][which]
+        if not alike.all() or not (buffer[_spread(starts, sizes)] == buffer[_spread(starts[first][which], sizes)]).all():
+            words = [raw[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist())]  # different words of one hash
+            made = self._encoded_once(list(set(words)))
+            ids = [np.frombuffer(made[w], self.dtype) for w in words]
+            return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        if self.pool.size > REMEMBERED:
+            self.levels, self.pool, self.letters = [], _Pool(self.dtype), _Pool(np.uint8)
+        at, count = self._found(distinct, buffer, starts[first], sizes[first])
+        new = np.flatnonzero(count < 0)
+        if len(new):
+            words = [raw[a : a + n] for a, n in zip(starts[first[new]].tolist(), sizes[first[new]].tolist())]
+            if plain:
+                made = self._encoded_once(words)
+                ids = [made[w] for w in words]
+            else:
+                ids = self._fresh(words)
+            at[new], count[new] = self._remembered(distinct[new], words, ids)
+        counts = count[which]
+        return self.pool.data[_spread(at[which], counts)], counts
+
+    def _group(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of each of some texts, side by side in one buffer."""
+        raw = b" ".join(raws) + b" "
+        buffer, starts, sizes, hashes = _words(raw)
+        if not len(starts):
+            return [b""] * len(raws)
+        ids, counts = self._resolved(raw, buffer, starts, sizes, hashes)
+        # Words that begin before a text's end are its own or earlier ones.
+        until = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1) - 1)
+        ends = (np.concatenate([[0], np.cumsum(counts)])[until] * ids.itemsize).tolist()
+        out = ids.tobytes()
+        return [out[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _long(self, raw: bytes) -> bytes:
+        """The ids of a text over the buffer's size, cut at white space; a single word over it is encoded as it is."""
+        out, at = [], 0
+        while at < len(raw):
+            end = at + BUFFER
+            if end < len(raw):
+                end = max(raw.rfind(c, at, end) for c in (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"))
+                if end <= at:
+                    gap = GAP.search(raw, at + 1)
+                    end = gap.start() if gap else len(raw)
+            part = raw[at:end]
+            if len(part) > BUFFER:
+                part = part.strip()
+                out.append(self._encoded_once([part])[part])
+            else:
+                out += self._group([part])
+            at = end
+        return b"".join(out)
+
     def encoded(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids with the end id, as little-endian bytes."""
-        pieces = [self._pieces(t) for t in texts]
-        distinct = set().union(*pieces)
-        here = dict(zip(distinct, map(self.known.get, distinct)))  # small, so that each mention finds its ids in cache
-        fresh = self._fresh([p for p, ids in here.items() if ids is None])
-        here.update(fresh)
-        if len(self.known) + len(fresh) <= REMEMBERED:
-            self.known.update(fresh)
-        return [b"".join(map(here.__getitem__, p)) + self.end for p in pieces]
+        """Each text's ids with the end id, as little-endian bytes; memory is bounded by ``BUFFER`` and the longest text."""
+        out: list[bytes] = []
+        group: list[bytes] = []
+        held = 0
+        for raw in map(self._raw, texts):
+            if group and held + len(raw) > BUFFER:
+                out += self._group(group)
+                group, held = [], 0
+            if len(raw) > BUFFER:
+                out.append(self._long(raw))
+            else:
+                group.append(raw)
+                held += len(raw) + 1
+        if group:
+            out += self._group(group)
+        return [ids + self.end for ids in out]
 
 
 def encoder(vocabulary: Vocabulary) -> _Encoder:

@@ -257,7 +257,9 @@ def test_tokens_round_trip(spark, documents, tmp_path):
         assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32, tuple(r.ids)) for r in got), key=lambda r: r[1]) == expected
 
 
-def test_encoder_agrees_with_the_tokenizer():
+@pytest.mark.parametrize("buffer", [1 << 20, 40])
+def test_encoder_agrees_with_the_tokenizer(monkeypatch, buffer):
+    monkeypatch.setattr(tokenfile, "BUFFER", buffer)
     vocabulary = tokenfile.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
     encoder = tokenfile.encoder(vocabulary)
     rng = random.Random(1)
@@ -267,6 +269,22 @@ def test_encoder_agrees_with_the_tokenizer():
         assert np.frombuffer(got, "<u2").tolist() == [*encoder._ids(text), 2], text
 
 
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    real = tokenfile._words
+
+    def colliding(raw):
+        buffer, starts, sizes, hashes = real(raw)
+        return buffer, starts, sizes, hashes % np.uint64(5)
+
+    monkeypatch.setattr(tokenfile, "_words", colliding)
+    encoder = tokenfile._Encoder(tokenfile.Vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(8)
+    for n in (1, 2, 3, 40):
+        for _ in range(60):
+            text = " ".join(rng.choice(["the", "thing", "thing,", "a", "bb!", "|", "x.y", "Étage"]) for _ in range(n))
+            assert np.frombuffer(encoder.encoded([text])[0], "<u2").tolist() == [*encoder._ids(text), 2]
+
+
 def test_streams_round_trip():
     rng = np.random.default_rng(2)
     for top in (1, 5, 256, 257, 70_000, 1 << 24, 1 << 31):
