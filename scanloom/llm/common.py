@@ -15,6 +15,9 @@ LOCAL_SHARED_DIR = "/tmp/checkpoints/scanloom"
 BITMAP_LONGS = 1 << 14
 
 
+#: Rows of a batch that goes to Python: texts stand in it whole, so it holds few of them.
+BATCH_ROWS = 1000
+
 _KEPT: dict[Any, Any] = {}
 
 
@@ -26,8 +29,14 @@ def worker_cache(name: Any, make: Callable[[], Any]) -> Any:
     return _KEPT[name]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS``, which bounds what the JVM and a worker keep outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the parquet tables of ``sf_dir``, by any path that Spark can read."""
+    """One of the parquet tables of ``sf_dir``, by any path that Spark can read; batches to Python are bounded from now on."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -44,6 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     is not computed anew by each later use.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ BITS = 18
 #: Words of a text that are turned to features at a time; bounds memory, not the text.
 CHUNK = 1 << 20
 #: Distinct tokens whose hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from scanloom.llm.common import written
+from scanloom.llm.common import worker_cache, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -73,6 +73,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, row (a hash of id and text) and fp (fingerprint as a signed long) of every whole text; a null text has no words."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash", dict)  # nothing: what another operator kept goes
         for batch in batches:
             made = np.array([fingerprint(t.as_py()) for t in batch["text"]], np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "row": batch["row"], "fp": pa.array(made.view(np.int64), pa.int64())})
