@@ -1,12 +1,13 @@
 """Personal data: patterns, and terms that reveal them by corpus co-occurrence.
 
 Base spans come from four patterns. Each distinct value found is a protected
-entity e. The terms t near its mentions are its candidates. Over all documents,
-the information content of e is IC(e) = -log2 p(e), and t's disclosure is the
+entity e. All words t of the documents that hold e are its candidates. Over all
+documents, the information content of e is IC(e) = -log2 p(e), and t's disclosure is the
 pointwise mutual information PMI(e; t) = log2 p(e, t) / (p(e) p(t)). PMI reaches
 IC exactly where t never occurs without e. A term is disclosing where
 PMI(e; t) >= IC(e) - slack, and at least ``support`` documents show the pair;
-its mentions near e become spans of kind ``term``. Sanitising replaces base
+every occurrence of it, in any document, becomes a span of kind ``term``, save
+those that overlap base spans. Sanitising replaces base
 spans by their kind, generalises capitalised terms and removes the rest.
 
 All steps are DataFrame functions. Positions come from the lengths of what a
@@ -40,29 +41,26 @@ PATTERNS = {
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 WORD = r"\p{L}+"
-SPAN = "struct<start:int,end:int,value:string>"
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    """``near``: code points on each side of a mention; ``slack``: bits below the entity's information content."""
+    """``support``: least documents of a pair; ``slack``: bits below the entity's information content."""
 
-    near: int = 48
     support: int = 3
     slack: float = 0.5
     min_letters: int = 3
 
 
-def located(pieces: Column, matches: Column) -> Column:
-    """Spans (start, end, value) of matches, from what stands between them."""
-    def further(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(pieces, i))
-        end = start + F.length(F.get(matches, i))
-        return F.struct(end.cast("int").alias("at"), F.array_append(acc["out"], F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.get(matches, i).alias("value"))).alias("out"))
+def placed(text: Column) -> Column:
+    """All words of a text in order, each with the length of what stands before it since the last one."""
+    pieces, words = F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.zip_with(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), F.length), words, lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    made = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), first, further, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, made).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+def _terms(words: Column, params: PiiParams) -> Column:
+    """The distinct terms among words: in lower case, of ``min_letters`` or more."""
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= params.min_letters), F.lower))
 
 
 def _digits(value: Column) -> Column:
@@ -89,23 +87,20 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _found(kind: str, near: int) -> Column:
-    """Of each match of a kind: how much stands before it, its value, and the text near it, all from one split."""
+def _found(kind: str) -> Column:
+    """Of each match of a kind: how much stands before it since the last one, and its value."""
     pieces, matches = F.col(f"p_{kind}"), F.col(f"m_{kind}")
 
     def of(i: Column) -> Column:
-        gap, after, value = F.get(pieces, i), F.get(pieces, i + 1), F.get(matches, i)
-        return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), F.length(gap).alias("gap"), F.length(value).alias("len"), value.alias("value"),
-            F.right(gap, F.lit(near)).alias("left"), F.left(after, F.lit(near)).alias("right"), (F.length(after) > near).alias("goes_on"),
-        )
+        value = F.get(matches, i)
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), F.length(F.get(pieces, i)).alias("gap"), F.length(value).alias("len"), value.alias("value"))
 
     made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(matches) - 1, F.lit(0))), of)
     return F.filter(made, lambda x: x["i"] < F.size(matches))
 
 
-def mentions(documents: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """doc_id, row (a hash of id and text) and all matches of each document, valid or not."""
+def mentions(documents: DataFrame) -> DataFrame:
+    """doc_id, row (a hash of id and text), all matches of each document, valid or not, and all words of those that have any."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), text.alias("text"))
     none = F.array().cast("array<string>")
@@ -114,11 +109,12 @@ def mentions(documents: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
         out = out.withColumn(f"may_{kind}", F.contains("text", F.lit(HINTS[kind])) & may if HINTS[kind] else may)
     split = [F.when(F.col(f"may_{k}"), F.split("text", PATTERNS[k], -1)).otherwise(none).alias(f"p_{k}") for k in KINDS]
     matched = [F.when(F.col(f"may_{k}"), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).otherwise(none).alias(f"m_{k}") for k in KINDS]
-    return out.select("doc_id", "row", *split, *matched).select("doc_id", "row", F.concat(*(_found(k, params.near) for k in KINDS)).alias("found"))
+    words = F.when(F.greatest(*(F.col(f"may_{k}") for k in KINDS)), placed(F.col("text"))).alias("words")
+    return out.select("doc_id", "row", words, *split, *matched).select("doc_id", "row", "words", F.concat(*(_found(k) for k in KINDS)).alias("found"))
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """A row per valid match: doc_id, row, kind (its place in ``KINDS``), start, end, value (lower case), left, right, goes_on, cut.
+    """A row per valid match: doc_id, row, kind (its place in ``KINDS``), start, end, value (lower case).
 
     Positions are running sums within a document, so a document may have any
     number of matches. Repeated rows give their spans once.
@@ -130,37 +126,52 @@ def base_spans(found: DataFrame) -> DataFrame:
     valid = F.lit(True)
     for k, kind in enumerate(KINDS):
         valid = F.when(F.col("kind") == k, _valid(kind, F.col("value"))).otherwise(valid)
-    return placed.where(valid).select("doc_id", "row", "kind", "start", "end", F.lower("value").alias("value"), "left", "right", "goes_on", (F.col("gap") > F.length("left")).alias("cut"))
-
-
-def nearby_terms(base: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """doc_id, row, kind, value, term, start, end of whole words near each base span."""
-    sides = base.select("doc_id", "row", "kind", "value", F.explode(F.array(
-        F.struct(F.col("left").alias("near"), (F.col("start") - F.length("left")).alias("at"), F.col("cut").alias("cut_first"), F.lit(False).alias("cut_last")),
-        F.struct(F.col("right").alias("near"), F.col("end").alias("at"), F.lit(False).alias("cut_first"), F.col("goes_on").alias("cut_last")),
-    )).alias("side")).select("doc_id", "row", "kind", "value", "side.*")
-    split = sides.select("*", F.split("near", WORD, -1).alias("pieces"), F.regexp_extract_all("near", F.lit(WORD), F.lit(0)).alias("words"))
-    terms = split.select("doc_id", "row", "kind", "value", "near", "at", "cut_first", "cut_last", F.explode(located(F.col("pieces"), F.col("words"))).alias("w"))
-    whole = ~(F.col("cut_first") & (F.col("w.start") == 0)) & ~(F.col("cut_last") & (F.col("w.end") == F.length("near"))) & (F.length("w.value") >= params.min_letters)
-    return terms.where(whole).select("doc_id", "row", "kind", "value", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-
-
-def disclosing(documents: DataFrame, n_docs: int, base: DataFrame, terms: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
-    """(kind, value, term) of each entity and each term that reveals it, with ic and pmi in bits."""
-    shown = terms.select("doc_id", "row", "kind", "value", "term").distinct()
-    # A term's documents number at least those that show it near any entity: most common words drop out here.
-    near = shown.select("doc_id", "row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    pairs = shown.groupBy("kind", "value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= params.support).join(near, "term")
-    pairs = written(pairs.where(F.col("both") >= F.col("n_near") * 2.0**-params.slack).drop("n_near"), "pii-pairs")
-    wanted = written(pairs.select(F.col("term").alias("word")).distinct(), "pii-terms")
-    # Documents that hold each wanted term, over the whole corpus.
-    words = documents.select(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+").alias("words"), bitmap(wanted).alias("bits"))
-    held = words.select(F.explode(F.array_distinct(F.expr(f"filter(words, w -> {in_bitmap('w')})"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_term")).join(wanted, "word", "left_semi")
-    entity = base.select("doc_id", "row", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
-    rated = pairs.join(held, pairs["term"] == held["word"]).drop("word").join(entity, ["kind", "value"]).withColumn("n_docs", F.lit(n_docs))
+    return placed.where(valid).select("doc_id", "row", "kind", "start", "end", F.lower("value").alias("value"))
+
+
+def disclosing(documents: DataFrame, found: DataFrame, base: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
+    """(kind, value, term) of each entity and each term that reveals it, with ic and pmi in bits, and whether the term stands in documents without an entity.
+
+    A pair's PMI comes within ``slack`` of the IC exactly where its documents
+    are 2 ** -slack of the term's or more, and the documents that hold any
+    entity are no fewer than the pair's: by them most words drop out before
+    they meet entities.
+    """
+    share = 2.0**-params.slack
+    of = base.groupBy(F.col("doc_id").alias("of"), F.col("row").alias("of_row")).agg(F.collect_set(F.struct("kind", "value")).alias("entities"))
+    joined = found.where(F.size("found") > 0).join(of, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")))
+    holding = written(joined.select("entities", _terms(F.col("words.word"), params).alias("terms")), "pii-holding")
+    near = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    words = _terms(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}]+"), params)
+    held = documents.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    may = (F.col("n_near") >= params.support) & (F.col("n_near") >= F.col("n_term") * share)
+    wanted = written(near.join(held, "term").where(may).select(F.col("term").alias("word"), "n_term", "n_near"), "pii-wanted")
+    asked = holding.select("entities", "terms", bitmap(wanted).alias("bits")).select("entities", F.explode(F.expr(f"filter(terms, t -> {in_bitmap('t')})")).alias("word"))
+    # Written before the pairs are counted: a frequent term's rows may then be dealt to many tasks.
+    shown = written(asked.join(wanted, "word"), "pii-shown")
+    pairs = shown.select(F.explode("entities").alias("e"), F.col("word").alias("term"), "n_term", "n_near").groupBy("e.kind", "e.value", "term", "n_term", "n_near").agg(F.count("*").alias("both"))
+    pairs = pairs.where((F.col("both") >= params.support) & (F.col("both") >= F.col("n_term") * share))
+    entity = holding.select(F.explode("entities").alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n_entity"))
+    rated = pairs.join(entity, ["kind", "value"]).withColumn("n_docs", F.lit(found.count()))
     ic = -F.log2(F.col("n_entity") / F.col("n_docs"))
     pmi = F.log2(F.col("both") * F.col("n_docs") / (F.col("n_term") * F.col("n_entity")))
-    return rated.select("kind", "value", "term", ic.alias("ic"), pmi.alias("pmi")).where(F.col("pmi") >= F.col("ic") - params.slack)
+    return rated.select("kind", "value", "term", ic.alias("ic"), pmi.alias("pmi"), (F.col("n_near") < F.col("n_term")).alias("outside"))
+
+
+def occurrences(worded: DataFrame, terms: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
+    """doc_id, row, start, end of every occurrence of a term (column ``word`` of ``terms``); ``worded`` has doc_id, row and words as ``placed`` gives them.
+
+    Positions are running sums within a document, of any number of words.
+    Repeated rows give theirs once.
+    """
+    asked = worded.withColumn("bits", bitmap(terms)).where(F.expr(f"exists(words, w -> {in_bitmap('lower(w.word)')})"))
+    one = asked.select("doc_id", "row", "bits", F.posexplode("words").alias("i", "w"))
+    may = (F.length("w.word") >= params.min_letters) & F.expr(in_bitmap("lower(w.word)"))
+    one = one.select("doc_id", "row", "i", "w.gap", F.length("w.word").alias("len"), F.when(may, F.lower("w.word")).alias("word"))
+    once = one.repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "i"])
+    so_far = Window.partitionBy("doc_id", "row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ended = once.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(so_far).cast("int")).where(F.col("word").isNotNull())
+    return ended.join(terms, "word", "left_semi").select("doc_id", "row", (F.col("end") - F.col("len")).alias("start"), "end")
 
 
 def personal_data(documents: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
@@ -170,11 +181,16 @@ def personal_data(documents: DataFrame, params: PiiParams = PiiParams()) -> Data
     and each count as documents; null ids are kept. An empty table gives no
     rows. Other columns are not read.
     """
-    found = written(mentions(documents, params), "pii-found")
+    found = written(mentions(documents), "pii-found")
     base = written(base_spans(found), "pii-base")
-    terms = written(nearby_terms(base, params), "pii-near")
-    revealing = written(disclosing(documents, found.count(), base, terms, params), "pii-disclosing")
-    added = terms.join(revealing, ["kind", "value", "term"], "left_semi").select("doc_id", "row", F.lit(len(KINDS)).alias("kind"), "start", "end").distinct()
+    revealing = written(disclosing(documents, found, base, params), "pii-disclosing")
+    terms = written(revealing.groupBy(F.col("term").alias("word")).agg(F.max("outside").alias("outside")), "pii-terms")
+    # Documents with matches have their words at hand; of the others only those are split that hold a term that stands outside.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    others = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), placed(text).alias("words"))
+    inside = occurrences(found.where(F.size("found") > 0).select("doc_id", "row", "words"), terms, params)
+    outside = occurrences(others, terms.where("outside"), params)
+    added = written(inside.unionByName(outside).withColumn("kind", F.lit(len(KINDS))).distinct(), "pii-added").select("doc_id", "row", "kind", "start", "end")
     # Terms that overlap base spans go: those that an earlier span reaches into, or that reach into a later one.
     spans = base.select("doc_id", "row", "kind", "start", "end").unionByName(added)
     order = Window.partitionBy("doc_id", "row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)

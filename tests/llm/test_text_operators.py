@@ -416,6 +416,42 @@ def test_disclosing_terms_are_spans_and_go(spark):
     assert pii.sanitised(docs).where("doc_id = 0").first().text == "please ask [TERM] or  at [EMAIL] now number 0"
 
 
+def terms_of(docs, params=pii.PiiParams()):
+    """(doc_id, term) of each marked occurrence by brute force: every word of every document, all entities."""
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    held, shown, seen = Counter(), Counter(), {}
+    for k, (_, text) in enumerate(rows):
+        entities = {(s.split(":")[0], text[int(s.split(":")[1]) : int(s.split(":")[2])].lower()) for s in spans_of(text)}
+        seen[k] = {w.lower() for w in re.findall(r"[^\W\d_]+", text) if len(w) >= params.min_letters}
+        held.update(seen[k])
+        shown.update((e, t) for e in entities for t in seen[k])
+    revealing = {t for (e, t), n in shown.items() if n >= params.support and n >= held[t] * 2**-params.slack}
+    out = Counter()
+    for doc_id, text in rows:
+        spans = [tuple(map(int, s.split(":")[1:])) for s in spans_of(text)]
+        for m in re.finditer(r"[^\W\d_]+", text):
+            if m[0].lower() in revealing and all(m.end() <= a or m.start() >= b for a, b in spans):
+                out[(doc_id, m.start(), m.end())] += 1
+    return out
+
+
+def marked(docs, params=pii.PiiParams()):
+    spans = pii.personal_data(docs, params).select("doc_id", F.explode(F.split("spans", ",")).alias("s")).where("s like 'term:%'")
+    return Counter((r.doc_id, *map(int, r.s.split(":")[1:])) for r in spans.collect())
+
+
+def test_terms_of_whole_documents_are_marked_everywhere(spark, documents):
+    far = "and " * 60
+    rows = [(k, f"Zorblatt asks {far} at jane@x.example or joe@y.example now {far} then zorblatt again") for k in range(3)] + [(3, f"a letter to Zorblatt {far}")]
+    rows += [(10 + k, f"asks {far} at p{k}@x.example or then again now letter") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = marked(docs)
+    assert got == terms_of(docs)
+    assert got[(0, 0, 8)] == got[(3, 12, 20)] == 1 and sum(n for (k, *_), n in got.items() if k == 0) == 2
+    assert "orblatt" not in "".join(r.text for r in pii.sanitised(docs).collect())
+    assert marked(documents) == terms_of(documents)
+
+
 # 10: mixing
 
 
