@@ -72,6 +72,6 @@ def bitmap(words: DataFrame) -> Column:
     return F.split(F.lit(",".join(str(longs.get(k, 0)) for k in range(BITMAP_LONGS))), ",").cast("array<bigint>")
 
 
-def in_bitmap(word: str) -> str:
+def in_bitmap(word: str, bits: str = "bits") -> str:
     """SQL: whether the bit of the expression ``word`` is set in the column ``bits``; true for every word put in."""
-    return f"getbit(get(bits, shiftright(hash({word}), 6) & {BITMAP_LONGS - 1}), hash({word}) & 63) = 1"
+    return f"getbit(get({bits}, shiftright(hash({word}), 6) & {BITMAP_LONGS - 1}), hash({word}) & 63) = 1"

@@ -45,9 +45,9 @@ WORD = r"\p{L}+"
 
 @dataclass(frozen=True)
 class PiiParams:
-    """``support``: least documents of a pair; ``slack``: bits below the entity's information content."""
+    """``support``: least documents of a pair (most personal data stand in one); ``slack``: bits below the entity's information content."""
 
-    support: int = 3
+    support: int = 1
     slack: float = 0.5
     min_letters: int = 3
 
@@ -164,9 +164,11 @@ def occurrences(worded: DataFrame, terms: DataFrame, params: PiiParams = PiiPara
     Positions are running sums within a document, of any number of words.
     Repeated rows give theirs once.
     """
-    asked = worded.withColumn("bits", bitmap(terms)).where(F.expr(f"exists(words, w -> {in_bitmap('lower(w.word)')})"))
-    one = asked.select("doc_id", "row", "bits", F.posexplode("words").alias("i", "w"))
-    may = (F.length("w.word") >= params.min_letters) & F.expr(in_bitmap("lower(w.word)"))
+    # Two bitmaps, of words and of words read backwards: few documents pass that hold no term.
+    both = f"{in_bitmap('lower(w.word)')} and {in_bitmap('reverse(lower(w.word))', 'again')}"
+    asked = worded.withColumns({"bits": bitmap(terms), "again": bitmap(terms.select(F.reverse("word").alias("word")))})
+    one = asked.where(F.expr(f"exists(words, w -> {both})")).select("doc_id", "row", "bits", "again", F.posexplode("words").alias("i", "w"))
+    may = (F.length("w.word") >= params.min_letters) & F.expr(both)
     one = one.select("doc_id", "row", "i", "w.gap", F.length("w.word").alias("len"), F.when(may, F.lower("w.word")).alias("word"))
     once = one.repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "i"])
     so_far = Window.partitionBy("doc_id", "row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)

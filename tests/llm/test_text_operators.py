@@ -452,6 +452,13 @@ def test_terms_of_whole_documents_are_marked_everywhere(spark, documents):
     assert marked(documents) == terms_of(documents)
 
 
+def test_terms_of_an_entity_in_one_document_are_marked(spark):
+    rows = [(0, "please ask Quxley at jane@x.example now")] + [(k, "please ask anyone at all now") for k in range(1, 20)]
+    rows += [(20, "mail Zorblatt at +1 555 123 4567 now"), (21, "mail Zorblatt now, or mail Wobbet")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert marked(docs) == terms_of(docs) == Counter({(0, 11, 17): 1})
+
+
 # 10: mixing
 
 
