@@ -2,8 +2,11 @@
 
 Every sentence of a whole text that holds a licence cue becomes a sparse vector
 of word counts times inverse template frequency (words that no template has
-weigh as the rarest) and is compared with the notices below; cosines of
-``threshold`` or more are finds, and a file's own licence is its best find. A
+weigh as the rarest) and is compared with the notices below. So does every
+comment (its lines joined, its marks dropped) and every whole text that holds a
+cue; these are compared with headers and texts of licences too. Cosines of
+``threshold`` or more are finds, and a file's own licence is its best find, by
+headers and texts if there are any, else by notices. A
 file is a licence file if its name says so or finds make up half of its words;
 it licenses its directory. Files without a find inherit from their nearest
 ancestor directory that is licensed, by joins on directory paths. All steps are
@@ -13,6 +16,7 @@ DataFrame functions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from importlib.resources import files as resources
 from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,10 +58,38 @@ NOTICES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+_GNU = "{0} is free software{3} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. You should have received a copy of the GNU {1} along with this {4}"
+_TO_2 = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+_TO_3 = ". If not, see <https://www.gnu.org/licenses/>."
+_BSD = "Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Licence names and whole headers, and the licences that are short enough to stand in headers.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
+    ("BSD-3-Clause", "Copyright (c) All rights reserved. Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    *((name, _GNU.format(f"This {what}", kind, version, mark, what) + to) for name, what, kind, version, mark in (
+        ("GPL-2.0", "program", "General Public License", "2", ";"), ("GPL-3.0", "program", "General Public License", "3", ":"),
+        ("LGPL-2.1", "library", "Lesser General Public License", "2.1", ";"), ("LGPL-3.0", "library", "Lesser General Public License", "3", ":"),
+        ("AGPL-3.0", "program", "Affero General Public License", "3", ":"),
+    ) for to in (_TO_2, _TO_3)),
+    ("ISC", 'Copyright (c) Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", 'MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+#: Licences whose whole texts lie in ``license_texts``.
+TEXTS = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+
 #: A sentence is compared if it holds one of these, in lower case.
 CUES = ("licen", "copyright", "copies", "redistribut", "public domain", "rights reserved", "compliance with", "hereby granted", "waived all")
 WORDS = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 SENTENCE_END = r"\n|(?<=[.!?;])\s+"
+#: What a comment line begins with, and how comments of several lines open and close (as regex) and close (as it stands).
+LINE_MARK = r"(?m)^[ \t]*+(?:#++!?|//++[/!]*+|/\*++|\*++/?|--++|;++|%++|<!--++|(?i:rem|dnl)\b)"
+LONG_COMMENTS = ((r"/\*", "*/"), ("<!--", "-->"), ('"{3}', None), ("'{3}", None))
 FILE_NAME = r"(?i)^(?:un)?licen[cs]e|^copying|^copyright|^notice"
 
 
@@ -80,11 +112,21 @@ def _has_cue(lowered: Column) -> Column:
     return out
 
 
-def templates(spark: SparkSession) -> DataFrame:
+def whole_templates() -> tuple[tuple[str, str], ...]:
+    """Licence names and what comments and whole texts are compared with: notices, headers and texts.
+
+    The text of AGPL-3.0 is that of GPL-3.0 under the other name.
+    """
+    texts = {name: (resources("scanloom.llm") / "license_texts" / f"{name}.txt").read_text("utf-8") for name in TEXTS}
+    affero = texts["GPL-3.0"].replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL", "GNU AFFERO GENERAL")
+    return (*NOTICES, *HEADERS, *texts.items(), ("AGPL-3.0", affero))
+
+
+def templates(spark: SparkSession, named: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
     """notice, license, term, weight (unit length) and idf of each term of each notice: a fixed small table."""
-    notices = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(NOTICES)], "notice int, license string, text string")
+    notices = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(named)], "notice int, license string, text string")
     counts = notices.select("notice", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("notice", "license", "term").agg(F.count("*").alias("tf"))
-    n = len(NOTICES)
+    n = len(named)
     idf = counts.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
     weighed = counts.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy("notice").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
@@ -92,21 +134,49 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def finds(files: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
-    """row, sentence (its place), license, score, words of each sentence that is close to a notice; ``files`` has row and text."""
-    spark = files.sparkSession
-    table = written(templates(spark), "licenses-templates")
+    """row, sentence (its place), license, score, words, short (not by a header or a text) of each sentence that is close to a notice; ``files`` has row and text."""
     cued = files.where(_has_cue(F.lower("text"))).select("row", F.posexplode(F.split("text", SENTENCE_END, -1)).alias("sentence", "text")).where(_has_cue(F.lower("text")))
-    terms = cued.select("row", "sentence", _terms(F.col("text")).alias("terms"))
+    return _close(cued, NOTICES, params)
+
+
+def whole_finds(files: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
+    """As ``finds``, of comments and whole texts that are close to a notice, a header or a licence's text."""
+    cued = files.where(_has_cue(F.lower("text"))).select("row", F.posexplode(blocks(F.col("text"))).alias("sentence", "text")).where(_has_cue(F.lower("text")))
+    return _close(cued, whole_templates(), params)
+
+
+def blocks(text: Column) -> Column:
+    """A whole text and its comments, those of several lines and runs of comment lines, without marks; equal ones once."""
+    def bare(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, LINE_MARK, " "), "\\x01", " ")
+
+    # Each piece is a line that is no comment, and the comment lines after it.
+    pieces = F.split(F.regexp_replace(F.regexp_replace(text, "\\x01", " "), LINE_MARK, "\x01"), r"\n(?!\x01)", -1)
+    runs = F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^[^\x01][^\n]*+", "")), lambda x: F.contains(x, F.lit("\x01")))
+
+    def opened(opens: str, closes: str | None) -> Column:
+        parts = F.split(text, opens, -1)
+        parts = F.slice(parts, 2, F.size(parts))
+        return F.transform(parts, lambda x: F.substring_index(x, closes, 1)) if closes else parts
+
+    long = [opened(*ends) for ends in LONG_COMMENTS]
+    return F.array_distinct(F.transform(F.concat(F.array(text), runs, *long), bare))
+
+
+def _close(items: DataFrame, named: tuple[tuple[str, str], ...], params: LicenseParams) -> DataFrame:
+    """The best of the templates ``named`` for each item (row, sentence, text) that is close to any."""
+    table = written(templates(items.sparkSession, named), "licenses-templates")
+    terms = items.select("row", "sentence", _terms(F.col("text")).alias("terms"))
     counts = terms.select("row", "sentence", F.size("terms").alias("words"), F.explode("terms").alias("term")).groupBy("row", "sentence", "words", "term").agg(F.count("*").alias("tf"))
     counts = written(counts, "licenses-terms")
-    rarest = log((1.0 + len(NOTICES)) / 1.0) + 1
+    rarest = log((1.0 + len(named)) / 1.0) + 1
     idf = table.select("term", "idf").distinct()
     weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("raw", F.col("tf") * F.coalesce("idf", F.lit(rarest)))  # words of the notices
     norms = weighed.groupBy("row", "sentence").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     products = weighed.join(F.broadcast(table.select("notice", "license", "term", "weight")), "term").groupBy("row", "sentence", "words", "notice", "license").agg(F.sum(F.col("raw") * F.col("weight")).alias("product"))
     scored = products.join(norms, ["row", "sentence"]).withColumn("score", F.round(F.col("product") / F.col("norm"), 6)).where(F.col("score") >= params.threshold)
-    best = scored.groupBy("row", "sentence", "words").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("license").alias("license"))).alias("b"))
-    return best.select("row", "sentence", F.col("b.license").alias("license"), (-F.col("b.neg")).alias("score"), "words")
+    best = scored.groupBy("row", "sentence", "words").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("license").alias("license"), F.col("notice").alias("notice"))).alias("b"))
+    return best.select("row", "sentence", F.col("b.license").alias("license"), (-F.col("b.neg")).alias("score"), "words", (F.col("b.notice") < len(NOTICES)).alias("short"))
 
 
 def parents(directory: Column) -> Column:
@@ -130,9 +200,12 @@ def license_scan(files: DataFrame, path: Column, params: LicenseParams = License
     named = files.select(F.col(key).alias("key"), F.coalesce(path, F.lit("")).alias("path"), text.alias("text"))
     row = F.xxhash64("key", "path", "text")
     listed = named.withColumn("row", row).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
-    found = written(finds(listed.select("row", "text").where(F.length("text") > 0), params), "licenses-finds")
+    texts = listed.select("row", "text").where(F.length("text") > 0)
+    found = finds(texts, params).withColumn("whole", F.lit(False)).unionByName(whole_finds(texts, params).withColumn("whole", F.lit(True)))
+    found = written(found, "licenses-finds")
     # Repeated rows double the counts of their sentences: a sentence has one direction, so its cosine stays.
-    per_row = found.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("license").alias("license"))).alias("b"), F.sum("words").alias("found_words"))
+    # A header or text that is found counts before the sentences in it, such as "All rights reserved."
+    per_row = found.groupBy("row").agg(F.min(F.struct("short", (-F.col("score")).alias("neg"), F.col("license").alias("license"))).alias("b"), F.greatest(F.sum(F.when(~F.col("whole"), F.col("words"))), F.max(F.when(F.col("whole"), F.col("words")))).alias("found_words"))
     own = per_row.select(F.col("row").alias("of"), F.col("b.license").alias("own"), (-F.col("b.neg")).alias("own_score"), "found_words")
     name = F.regexp_extract("path", "[^/]*$", 0)
     slim = listed.select("key", "path", "dir", "row", F.when(_has_cue(F.lower("text")), F.size(_terms(F.col("text")))).otherwise(0).alias("all_words"))

@@ -97,6 +97,33 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark):
     }
 
 
+def test_wrapped_headers_and_licence_texts_are_found(spark):
+    import textwrap
+
+    code = "int main(void) {\n" + "\n".join(f"    call_{k}(alpha, beta[{k}]);" for k in range(150)) + "\n}\n"
+    gnu = "foo does things\n\nCopyright (C) 2020 Jane Doe\n\nThis {0} is free software{3} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.\n\nThis {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details.\n\nYou should have received a copy of the GNU {1} along with this {0}. If not, see <http://www.gnu.org/licenses/>."
+    bsd = dict(licenses.HEADERS)["BSD-2-Clause"].replace("(c)", "(c) 2019, Jane Doe.")
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    headers = {
+        "GPL-2.0": gnu.format("program", "General Public License", 2, ";"), "GPL-3.0": gnu.format("program", "General Public License", 3, ":"),
+        "LGPL-2.1": gnu.format("library", "Lesser General Public License", 2.1, ";"), "BSD-2-Clause": bsd, "MPL-2.0": mpl,
+    }
+    rows, expected = [], {}
+    for name, text in headers.items():
+        lines = [x for part in text.split("\n") for x in (textwrap.wrap(part, 60) or [""])]
+        shapes = ("# " + "\n# ".join(lines), "/*\n * " + "\n * ".join(lines) + "\n */", "/* " + "\n   ".join(lines) + " */", "<!--\n" + "\n".join(lines) + "\n-->")
+        for shape in shapes:
+            expected[len(rows)] = (name, "header")
+            rows.append((len(rows), f"{name}/{len(rows)}/x.c", f"{shape}\n{code}"))
+    for name, text in licenses.whole_templates()[-len(licenses.TEXTS) - 1 :]:
+        expected[len(rows)] = (name, "file")
+        rows.append((len(rows), f"all/{name}/COPYING", text))
+    expected[len(rows)] = (None, "none")
+    rows.append((len(rows), "none/x.c", f"# copyright checks happen here\n{code}"))
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path"))
+    assert {r.doc_id: (r.license, r.origin) for r in got.collect()} == expected
+
+
 # 2: quality
 
 
