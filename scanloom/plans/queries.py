@@ -256,8 +256,8 @@ def _two(px: DataFrame) -> DataFrame:
     return px.withColumn("v", F.round("v", 2))
 
 
-def _solved() -> None:
-    cut = "(select * from f1 where x < 24 and y < 20)"
+def _solved_on(suffix: str, taken: Callable[[DataFrame], DataFrame], cut: str, w: int, h: int) -> None:
+    """Solvers on what ``taken`` takes of F1, w x h pixels; ``cut`` is the same in SQL."""
     lap = _laplacian(cut, False)
     near = f"(select g.*, t.v tv, lag(g.v) over (partition by g.chan, g.y order by g.x) + lead(g.v) over (partition by g.chan, g.y order by g.x) a, lag(g.v) over (partition by g.chan, g.x order by g.y) + lead(g.v) over (partition by g.chan, g.x order by g.y) b from (select chan, y, x, 255 - v v from {cut}) g join ({lap}) t on t.y = g.y and t.x = g.x)"
     rhs = "((tv - 128) / -0.25)"
@@ -266,18 +266,24 @@ def _solved() -> None:
     def inverted(p: DataFrame) -> DataFrame:
         return p.withColumn("v", 255 - F.col("v"))
 
-    _register("poisson_halfsweep", PX, _f1(lambda p: solvers.poisson_halfsweep(inverted(_small(p)), scan.laplacian(_small(p)), -0.25, 1)), f"select chan, y, x, case when (x + y + 1) % 2 = 1 then {asked} else v end v from {near}")
-    _register("poisson_residual", "img error", _f1(lambda p: solvers.poisson_residual(inverted(_small(p)), scan.laplacian(_small(p)), -0.25)), f"select 1 img, sqrt(avg(power(({asked}) - v, 2))) error from {near} where a is not null or b is not null", "error")
+    _register(f"poisson_halfsweep{suffix}", PX, _f1(lambda p: solvers.poisson_halfsweep(inverted(taken(p)), scan.laplacian(taken(p)), -0.25, 1)), f"select chan, y, x, case when (x + y + 1) % 2 = 1 then {asked} else v end v from {near}")
+    _register(f"poisson_residual{suffix}", "img error", _f1(lambda p: solvers.poisson_residual(inverted(taken(p)), scan.laplacian(taken(p)), -0.25)), f"select 1 img, sqrt(avg(power(({asked}) - v, 2))) error from {near} where a is not null or b is not null", "error")
     kernel = (4, -0.5, -0.25, 0.125)
     c3 = f"(select *, lag(v) over {_X_LINE} + lead(v) over {_X_LINE} s, lag(v) over {_Y_LINE} + lead(v) over {_Y_LINE} b from (select chan, y, x, 255 - v v, v p from {cut}))"
     damp = 16 / (16 + 2 * 0.25 + 2 * 0.0625 + 4 * 0.015625)
     o = f"(select *, lag(s) over {_Y_LINE} + lead(s) over {_Y_LINE} g from {c3})"
-    _register("deconv_halfsweep", PX, _f1(lambda p: solvers.deconvolution_halfsweep(_small(p), inverted(_small(p)), *kernel, 2)), f"select chan, y, x, case when s is not null and b is not null and (x - 1 - (2 + y)) % 2 = 0 then v + ((p + 0.5 * s + 0.25 * b - 0.125 * g) / 4 - v) * {damp!r} else v end v from {o}")
+    _register(f"deconv_halfsweep{suffix}", PX, _f1(lambda p: solvers.deconvolution_halfsweep(taken(p), inverted(taken(p)), *kernel, 2)), f"select chan, y, x, case when s is not null and b is not null and (x - 1 - (2 + y)) % 2 = 0 then v + ((p + 0.5 * s + 0.25 * b - 0.125 * g) / 4 - v) * {damp!r} else v end v from {o}")
     # The solution is the image and a plane through what the guess differs by at the corners; to two decimals.
     corner = "(select 128 - v from f1 where x = {0} and y = {1})"
-    bent = f"(1 - y / 19.0) * ((1 - x / 23.0) * {corner.format(0, 0)} + x / 23.0 * {corner.format(23, 0)}) + y / 19.0 * ((1 - x / 23.0) * {corner.format(0, 19)} + x / 23.0 * {corner.format(23, 19)})"
-    _register("poisson_solve", PX, _f1(lambda p: _two(solvers.poisson_solve(pointwise.fill(_small(p), {1: 128}), scan.laplacian(_small(p)), tol=1e-9))), f"select chan, y, x, round(v + {bent}, 2) v from {cut}")
-    _register("seamless_paste", PX, lambda s, d: solvers.seamless_paste(_small(X.f3(s, d)), _small(pointwise.opaque(X.f3(s, d)))))
+    bent = f"(1 - y / {h - 1}.0) * ((1 - x / {w - 1}.0) * {corner.format(0, 0)} + x / {w - 1}.0 * {corner.format(w - 1, 0)}) + y / {h - 1}.0 * ((1 - x / {w - 1}.0) * {corner.format(0, h - 1)} + x / {w - 1}.0 * {corner.format(w - 1, h - 1)})"
+    _register(f"poisson_solve{suffix}", PX, _f1(lambda p: _two(solvers.poisson_solve(pointwise.fill(taken(p), {1: 128}), scan.laplacian(taken(p)), tol=1e-9))), f"select chan, y, x, round(v + {bent}, 2) v from {cut}")
+
+
+def _solved() -> None:
+    kernel = (4, -0.5, -0.25, 0.125)
+    _solved_on("", _small, "(select * from f1 where x < 24 and y < 20)", 24, 20)
+    _solved_on("_page", lambda p: p, "(select * from f1)", 64, 48)
+    _register("seamless_paste", PX, lambda s, d: solvers.seamless_paste(X.f3(s, d), pointwise.opaque(X.f3(s, d))))
     _register("deconvolve_3x3", PX, _f1(lambda p: _two(solvers.deconvolve_3x3(scan.convolve_3x3(p, *kernel), *kernel, tol=1e-9))), "select * from f1")
     _register("deconvolve_3x1", PX, _f1(lambda p: solvers.deconvolve_3x1(scan.convolve_3x3(p, 4, -1, 0, 0), -1, 4, -1)), "select * from f1")
     _register("deconvolve_1x3", PX, _f1(lambda p: solvers.deconvolve_1x3(scan.convolve_3x3(p, 4, 0, -1, 0), -1, 4, -1)), "select * from f1")

@@ -26,3 +26,8 @@ def test_query_matches_oracle(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 64 * 48
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_seamless_paste_takes_the_whole_page(spark):
+    out = QUERIES["seamless_paste"](spark, SMALL)
+    assert {(r.x, r.y) for r in out.select("x", "y").distinct().collect()} == {(x, y) for x in range(64) for y in range(48)}
