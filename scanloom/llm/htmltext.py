@@ -35,7 +35,7 @@ MAIN_WORDS = frozenset("article content entry main post story".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)[^>]*+>|<[!?][^>]*+>""")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b|\baria-(hidden)\s*=\s*["']?true""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: words, link density; the same of the block before and after; in a container apart, in a main one; the page has a main one; heading
@@ -114,9 +114,9 @@ def _standing(name: str, attributes: str) -> str:
     if name in ("html", "body"):
         return ""
     role, words = "", []
-    for key, a, b, c, hidden, aria in ATTRIBUTE.findall(attributes):
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
         value, key = a or b or c, key.lower()
-        if hidden or aria or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return "apart"
         if key == "role":
             role = value.strip().lower()

@@ -401,6 +401,19 @@ def test_bad_hosts_lose_their_documents_and_small_ones_are_shrunk(spark):
     assert not any(got[1000 + k].kept for k in range(200)) and got[2001].kept and all(got[k].kept == (k % 10 != 0) for k in range(700))
 
 
+# 8: web pages
+
+
+def test_only_hidden_attributes_hide_an_element():
+    for shown in ('aria-hidden="false"', 'data-hidden="no"', 'title="A hidden gem"', "title='x hidden y'", "data-x=hidden", 'data-role="dialog"', 'aria-hidden = "false" lang=en', ""):
+        assert htmltext._standing("div", f" {shown} ") == ""
+    for apart in ("hidden", "HIDDEN", 'hidden=""', "hidden=until-found", 'class="x" hidden', 'aria-hidden="true"', "aria-hidden=TRUE", "aria-hidden = 'true'", 'style="display: none"', "role=dialog"):
+        assert htmltext._standing("div", f" {apart} ") == "apart"
+    text = "The quick brown fox jumps over the lazy dog and then walks home through the old town. " * 6
+    page = f'<html><body><div title="A hidden gem"><p>{text}</p></div></body></html>'
+    assert text.strip() in htmltext.main_text(page)
+
+
 # 9: personal data
 
 
