@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page becomes a flat list of text blocks. A block's features are its words and
-link density, those of its neighbours, and where it stands (in a menu-like or
-an article-like container, under a heading). A decision tree (CART by Gini
-impurity) trained on the small labelled table below keeps or drops each block.
+link density, those of its neighbours, whether it is a heading or holds a legal
+mark, and what its containers say of it, if anything. A decision tree (CART by
+Gini impurity) trained on the small labelled table below keeps or drops each
+block. Most labelled blocks stand in pages whose containers say nothing, so
+words and links of a block and its neighbours decide first.
 """
 
 from __future__ import annotations
@@ -38,40 +40,83 @@ TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-#: words, link density; the same of the block before and after; in a container apart, in a main one; the page has a main one; heading
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "main", "has_main", "heading")
+#: Words of a block that speak of rights.
+LEGAL = re.compile(r"©|\(c\) ?[0-9]|\bcopyright\b|\ball rights reserved\b", re.I)
+#: words, link density; the same of the block before and after (0 where there is none); a heading; a legal mark; in a container apart; in a main container (1), beside the page's main container (-1) or neither (0)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "legal", "apart", "main")
 
 #: The labelled table: features as listed, then 1 for main text.
 LABELLED = (
-    # in containers apart: never, however long or free of links
-    (6, 1.0, 0, 0.0, 6, 1.0, 1, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0, 0), (40, 0.0, 1, 1.0, 30, 0.0, 1, 0, 1, 0, 0),
-    (120, 0.0, 80, 0.0, 90, 0.0, 1, 0, 0, 0, 0), (12, 0.1, 60, 0.0, 0, 0.0, 1, 1, 1, 0, 0), (45, 0.0, 70, 0.0, 50, 0.0, 1, 1, 1, 0, 0),
-    (3, 0.0, 30, 0.0, 20, 0.0, 1, 1, 1, 1, 0), (8, 0.0, 5, 0.0, 2, 1.0, 1, 0, 0, 1, 0), (25, 0.4, 10, 0.5, 12, 0.6, 1, 0, 0, 0, 0),
-    (2, 0.0, 90, 0.0, 0, 0.0, 1, 0, 1, 0, 0), (300, 0.02, 1, 0.0, 1, 0.0, 1, 0, 0, 0, 0), (1, 0.0, 200, 0.0, 150, 0.0, 1, 1, 1, 0, 0),
-    # in a main container: text of any length, with links in it
-    (50, 0.0, 60, 0.0, 70, 0.0, 0, 1, 1, 0, 1), (1, 0.0, 0, 0.0, 40, 0.0, 0, 1, 1, 1, 1), (2, 0.0, 80, 0.0, 1, 0.0, 0, 1, 1, 0, 1),
-    (1, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 1), (20, 0.3, 40, 0.1, 35, 0.0, 0, 1, 1, 0, 1), (10, 0.6, 50, 0.0, 60, 0.1, 0, 1, 1, 0, 1),
-    (4, 1.0, 55, 0.0, 48, 0.0, 0, 1, 1, 0, 1), (9, 0.8, 33, 0.1, 12, 0.2, 0, 1, 1, 0, 1), (250, 0.05, 5, 0.0, 7, 0.0, 0, 1, 1, 0, 1),
-    (7, 0.0, 2, 0.0, 3, 0.0, 0, 1, 1, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1, 1, 1), (15, 0.0, 6, 1.0, 0, 0.0, 0, 1, 1, 0, 1),
-    (6, 1.0, 20, 0.0, 0, 0.0, 0, 1, 1, 1, 1), (3, 0.0, 9, 0.9, 8, 1.0, 0, 1, 1, 0, 1), (30, 0.5, 2, 1.0, 40, 0.0, 0, 1, 1, 0, 1),
-    # but not runs of links in it
-    (2, 1.0, 2, 1.0, 3, 1.0, 0, 1, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0, 0), (7, 1.0, 6, 1.0, 8, 1.0, 0, 1, 1, 0, 0), (4, 0.95, 5, 1.0, 3, 0.95, 0, 1, 1, 0, 0),
-    # beside the main container of a page: never
-    (15, 0.0, 0, 0.0, 4, 0.0, 0, 0, 1, 0, 0), (60, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1, 0, 0), (4, 0.0, 70, 0.0, 20, 0.1, 0, 0, 1, 1, 0),
-    (30, 0.1, 40, 0.0, 35, 0.0, 0, 0, 1, 0, 0), (3, 1.0, 3, 1.0, 2, 1.0, 0, 0, 1, 0, 0), (110, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
-    # pages without one: long text, and short text between long text
-    (60, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (35, 0.1, 2, 1.0, 50, 0.0, 0, 0, 0, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (22, 0.2, 30, 0.1, 3, 0.0, 0, 0, 0, 0, 1),
-    (12, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 35, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 1, 1.0, 60, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 50, 0.0, 65, 0.0, 0, 0, 0, 1, 1),
-    (18, 0.0, 5, 0.0, 25, 0.0, 0, 0, 0, 0, 1), (28, 0.0, 8, 0.0, 1, 0.0, 0, 0, 0, 0, 1),
-    (2, 0.0, 60, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 80, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 45, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 33, 0.0, 38, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 90, 0.0, 150, 0.0, 0, 0, 0, 0, 1),
-    (60, 0.0, 2, 0.0, 3, 0.67, 0, 0, 0, 0, 1), (70, 0.0, 1, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (45, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (55, 0.05, 3, 1.0, 2, 0.0, 0, 0, 0, 0, 1), (100, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    # or all there is
-    (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
-    # and there neither short text among short text nor runs of links
-    (3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (20, 0.9, 15, 0.8, 12, 0.9, 0, 0, 0, 0, 0), (40, 0.7, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0),
-    (5, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0), (8, 0.5, 6, 0.5, 5, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (7, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1, 0),
-    (3, 0.67, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.6, 70, 0.0, 65, 0.0, 0, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 0),
-    (5, 0.0, 60, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (4, 0.0, 1, 1.0, 5, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    # pages whose containers say nothing: text of any length between text, a long block by itself, or all there is
+    (60, 0.0, 45, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (35, 0.1, 2, 1.0, 50, 0.0, 0, 0, 0, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (22, 0.2, 30, 0.1, 3, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 40, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 35, 0.0, 45, 0.0, 0, 0, 0, 0, 1),
+    (6, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 0, 1), (4, 0.0, 50, 0.0, 65, 0.0, 1, 0, 0, 0, 1), (18, 0.0, 5, 0.0, 25, 0.0, 0, 0, 0, 0, 1),
+    (28, 0.0, 8, 0.0, 1, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 60, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 80, 0.0, 70, 0.0, 0, 0, 0, 0, 1),
+    (3, 0.0, 45, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 33, 0.0, 38, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 90, 0.0, 150, 0.0, 0, 0, 0, 0, 1),
+    (60, 0.0, 2, 0.0, 3, 0.67, 0, 0, 0, 0, 1), (70, 0.0, 1, 0.0, 1, 1.0, 0, 0, 0, 0, 1), (45, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 1),
+    (55, 0.05, 3, 1.0, 2, 0.0, 0, 0, 0, 0, 1), (100, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 12, 1.0, 150, 0.0, 1, 0, 0, 0, 1),
+    (14, 0.0, 60, 0.0, 70, 0.0, 0, 1, 0, 0, 1), (80, 0.0, 1, 1.0, 60, 0.0, 0, 0, 0, 0, 1), (40, 0.0, 2, 1.0, 80, 0.0, 0, 0, 0, 0, 1),
+    (150, 0.0, 6, 1.0, 90, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (12, 0.25, 70, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
+    (60, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 0, 0.0, 60, 0.0, 1, 0, 0, 0, 1),
+    # there: runs of links, short text among short text or links, short and legal text at the end
+    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (20, 0.9, 15, 0.8, 12, 0.9, 0, 0, 0, 0, 0),
+    (40, 0.7, 4, 1.0, 6, 1.0, 0, 0, 0, 0, 0), (5, 0.0, 3, 1.0, 4, 0.0, 0, 0, 0, 0, 0), (8, 0.5, 6, 0.5, 5, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
+    (7, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (1, 0.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0, 0), (3, 0.67, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (1, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.6, 70, 0.0, 65, 0.0, 0, 0, 0, 0, 0),
+    (4, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (5, 0.0, 60, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (6, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (4, 0.0, 1, 1.0, 5, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 0), (3, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (12, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
+    (7, 0.0, 1, 1.0, 0, 0.0, 0, 1, 0, 0, 0), (30, 0.1, 2, 1.0, 0, 0.0, 0, 1, 0, 0, 0), (6, 0.8, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0),
+    (3, 1.0, 30, 0.0, 25, 0.0, 0, 0, 0, 0, 0),
+    # blocks of the table ``pages`` without its containers: menus, adverts and footers around articles
+    (1, 0.0, 10, 0.0, 1, 0.0, 1, 0, 0, 0, 1), (1, 0.0, 12, 0.0, 1, 0.0, 1, 0, 0, 0, 1), (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 5, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 9, 0.0, 0, 0, 0, 0, 0), (1, 1.0, 1, 1.0, 10, 0.0, 0, 0, 0, 0, 0),
+    (2, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 20, 0.0, 54, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 59, 0.0, 59, 0.0, 0, 0, 0, 0, 1),
+    (3, 0.0, 1, 0.0, 7, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 2, 0.0, 6, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 2, 0.0, 10, 0.0, 0, 0, 0, 0, 1),
+    (3, 0.0, 2, 0.0, 22, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 3, 0.0, 6, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 6, 0.0, 12, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 8, 0.0, 3, 0.0, 1, 0, 0, 0, 1),
+    (3, 0.0, 9, 0.0, 15, 0.0, 0, 1, 0, 0, 1), (3, 0.0, 26, 0.0, 1, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 1, 0.0, 66, 0.0, 0, 0, 0, 0, 1),
+    (4, 0.0, 8, 0.0, 8, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 46, 0.0, 5, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 1, 0.0, 23, 0.0, 0, 0, 0, 0, 1),
+    (5, 0.0, 1, 1.0, 11, 0.0, 0, 0, 0, 0, 0), (5, 0.0, 59, 0.0, 10, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 2, 0.0, 8, 0.0, 0, 0, 0, 0, 1),
+    (6, 0.0, 6, 0.0, 3, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 6, 0.0, 8, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 8, 0.0, 6, 0.0, 1, 0, 0, 0, 1), (6, 0.0, 54, 0.0, 3, 0.0, 0, 0, 0, 0, 1),
+    (6, 0.0, 58, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (7, 0.0, 17, 0.0, 5, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (8, 0.0, 1, 1.0, 6, 0.0, 0, 0, 0, 0, 0),
+    (8, 0.0, 4, 0.0, 16, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 6, 0.0, 14, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 8, 0.0, 4, 0.0, 0, 0, 0, 0, 1),
+    (8, 0.0, 8, 0.0, 59, 0.0, 0, 0, 0, 0, 1), (8, 0.0, 9, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (8, 0.0, 9, 0.0, 8, 0.0, 1, 0, 0, 0, 1), (8, 0.0, 10, 0.0, 8, 0.0, 1, 0, 0, 0, 1),
+    (8, 0.0, 43, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (8, 0.0, 149, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 1, 1.0, 5, 0.0, 0, 0, 0, 0, 0),
+    (9, 0.0, 1, 1.0, 8, 0.0, 0, 0, 0, 0, 0), (9, 0.0, 1, 1.0, 20, 0.0, 0, 0, 0, 0, 0), (9, 0.0, 132, 0.0, 8, 0.0, 0, 0, 0, 0, 1),
+    (10, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (10, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 0, 0), (10, 0.0, 1, 1.0, 8, 0.0, 0, 0, 0, 0, 0),
+    (10, 0.0, 5, 0.0, 15, 0.0, 0, 0, 0, 0, 1), (10, 0.0, 10, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (10, 0.0, 23, 0.0, 10, 0.0, 0, 0, 0, 0, 1),
+    (11, 0.0, 5, 0.0, 82, 0.0, 1, 0, 0, 0, 1), (11, 0.0, 54, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (12, 0.0, 3, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
+    (13, 0.0, 1, 1.0, 11, 0.0, 0, 0, 0, 0, 0), (14, 0.0, 1, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (14, 0.0, 8, 0.0, 31, 0.0, 0, 0, 0, 0, 1),
+    (15, 0.0, 1, 0.0, 10, 0.0, 0, 0, 0, 0, 1), (15, 0.0, 10, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (15, 0.0, 168, 0.0, 0, 0.0, 0, 1, 0, 0, 0),
+    (16, 0.0, 8, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (18, 0.0, 48, 0.0, 1, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 82, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
+    (23, 0.0, 25, 0.0, 10, 0.0, 0, 0, 0, 0, 1), (25, 0.0, 31, 0.0, 23, 0.0, 0, 0, 0, 0, 1), (30, 0.0, 55, 0.0, 112, 0.0, 0, 0, 0, 0, 1),
+    (31, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 0, 1), (31, 0.0, 14, 0.0, 25, 0.0, 0, 0, 0, 0, 1), (54, 0.0, 2, 0.0, 6, 0.0, 0, 0, 0, 0, 1),
+    (55, 0.0, 70, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (59, 0.0, 2, 0.0, 5, 0.0, 0, 0, 0, 0, 1), (59, 0.0, 8, 0.0, 2, 0.0, 0, 0, 0, 0, 1),
+    (70, 0.0, 10, 0.0, 55, 0.0, 0, 0, 0, 0, 1), (72, 0.0, 1, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (82, 0.0, 11, 0.0, 20, 0.0, 0, 0, 0, 0, 1),
+    (112, 0.0, 30, 0.0, 132, 0.0, 0, 0, 0, 0, 1), (132, 0.0, 112, 0.0, 9, 0.0, 0, 0, 0, 0, 1),
+    # blocks of that table as they stand
+    (3, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 26, 0.0, 1, 0.0, 0, 0, 0, 1, 1), (3, 0.0, 160, 0.0, 1, 0.0, 0, 0, 0, 1, 1),
+    (4, 0.0, 1, 0.0, 79, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 3, 0.0, 1, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 4, 0.0, 1, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 40, 0.0, 2, 0.0, 0, 0, 0, 1, 1),
+    (5, 0.0, 1, 0.0, 11, 0.0, 0, 0, 0, 1, 1), (8, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 1, 1), (13, 0.0, 1, 0.0, 1, 0.0, 0, 0, 0, 1, 1),
+    (47, 0.0, 1, 0.0, 17, 0.0, 0, 0, 0, 1, 1),
+    # in a main container: text with links in it, but not runs of links
+    (2, 0.0, 0, 0.0, 2, 0.0, 0, 0, 0, 1, 1), (2, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (10, 0.0, 20, 0.0, 0, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 1, 1),
+    (50, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1, 1), (1, 0.0, 0, 0.0, 40, 0.0, 1, 0, 0, 1, 1), (2, 0.0, 80, 0.0, 1, 0.0, 0, 0, 0, 1, 1),
+    (1, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 1), (20, 0.3, 40, 0.1, 35, 0.0, 0, 0, 0, 1, 1), (10, 0.6, 50, 0.0, 60, 0.1, 0, 0, 0, 1, 1),
+    (4, 1.0, 55, 0.0, 48, 0.0, 0, 0, 0, 1, 1), (9, 0.8, 33, 0.1, 12, 0.2, 0, 0, 0, 1, 1), (250, 0.05, 5, 0.0, 7, 0.0, 0, 0, 0, 1, 1),
+    (7, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0, 1, 1), (5, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1, 1), (15, 0.0, 6, 1.0, 0, 0.0, 0, 0, 0, 1, 1), (6, 1.0, 20, 0.0, 0, 0.0, 1, 0, 0, 1, 1),
+    (3, 0.0, 9, 0.9, 8, 1.0, 0, 0, 0, 1, 1), (30, 0.5, 2, 1.0, 40, 0.0, 0, 0, 0, 1, 1), (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 0),
+    (7, 1.0, 6, 1.0, 8, 1.0, 0, 0, 0, 1, 0), (4, 0.95, 5, 1.0, 3, 0.95, 0, 0, 0, 1, 0), (9, 0.0, 45, 0.0, 30, 0.0, 0, 1, 0, 1, 1),
+    (60, 0.0, 1, 1.0, 45, 0.0, 0, 0, 0, 1, 1), (6, 0.8, 90, 0.0, 60, 0.0, 0, 0, 0, 1, 1), (4, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 1, 1),
+    # beside the main container, and long text in containers apart
+    (110, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (300, 0.02, 1, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (110, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0, -1, 0),
+    (15, 0.0, 0, 0.0, 4, 0.0, 0, 0, 0, -1, 0), (60, 0.0, 2, 1.0, 50, 0.0, 0, 0, 0, -1, 0), (4, 0.0, 70, 0.0, 20, 0.1, 1, 0, 0, -1, 0),
+    (30, 0.1, 40, 0.0, 35, 0.0, 0, 0, 0, -1, 0), (3, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0, -1, 0), (110, 0.0, 0, 0.0, 90, 0.0, 0, 0, 0, -1, 0),
+    (60, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, -1, 0),
+    (40, 0.0, 2, 1.0, 80, 0.0, 0, 0, 1, 0, 0), (150, 0.0, 6, 1.0, 90, 0.0, 0, 0, 1, 0, 0), (70, 0.0, 60, 0.0, 60, 0.0, 0, 0, 1, 0, 0),
+    (250, 0.0, 90, 0.0, 60, 0.0, 0, 0, 1, 0, 0), (20, 0.0, 30, 0.0, 40, 0.0, 0, 0, 1, 0, 0), (45, 0.0, 70, 0.0, 50, 0.0, 0, 0, 1, 1, 0),
+    (1, 0.0, 200, 0.0, 150, 0.0, 0, 0, 1, 1, 0), (60, 0.0, 90, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (70, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0),
+    (12, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0), (5, 0.0, 0, 0.0, 90, 0.0, 0, 0, 1, 0, 0),
 )
 
 
@@ -230,14 +275,19 @@ def blocks_of(html: str) -> tuple[list[tuple[str, int, int, bool, bool, bool]],
     return page.blocks, page.has_main
 
 
+def block_features(blocks: list[tuple[str, int, int, bool, bool, bool]], has_main: bool) -> list[tuple]:
+    """A row of ``FEATURES`` for each block of a page."""
+    shares = [(0, 0.0), *((b[1], round(b[2] / b[1], 2)) for b in blocks), (0, 0.0)]
+    marks = [(int(b[5]), int(LEGAL.search(b[0]) is not None), int(b[3]), 1 if b[4] else -int(has_main)) for b in blocks]
+    return [(*here, *before, *after, *mark) for before, here, after, mark in zip(shares, shares[1:], shares[2:], marks)]
+
+
 def main_text(html: str | None, tree=None) -> str:
     """The main text: kept blocks in page order, joined by one line feed."""
     tree = default_tree() if tree is None else tree
     blocks, has_main = blocks_of(html or "")
-    shares = [(0, 0.0), *((b[1], b[2] / b[1]) for b in blocks), (0, 0.0)]
     kept = []
-    for k, b in enumerate(blocks):
-        row = (*shares[k + 1], *shares[k], *shares[k + 2], b[3], b[4], has_main, b[5])
+    for b, row in zip(blocks, block_features(blocks, has_main)):
         if classified(tree, row):
             kept.append(b[0])
     return "\n".join(kept)

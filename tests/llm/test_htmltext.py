@@ -54,3 +54,31 @@ def test_odd_rows(spark):
     rows = [(1, None, None, 3), (None, "u", "<article><p>a</p></article>", 4), (2, "u", "", 5), (2, "u", "", 5)]
     got = sorted(((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()))
     assert got == [(0, "u", "a", 1), (1, "", "", 0), (2, "u", "", 0), (2, "u", "", 0)]
+
+
+def without_containers(html: str) -> str:
+    """The page with plain containers and no class names."""
+    return re.sub(r' class="ad"', "", re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", html))
+
+
+def test_words_and_links_decide_without_containers(spark):
+    for page in table(spark, SMALL, "pages").collect():
+        plain = without_containers(page.html)
+        assert not any(b[3] or b[4] for b in htmltext.blocks_of(plain)[0])
+        assert htmltext.main_text(plain) == htmltext.main_text(page.html)
+
+
+def test_neighbours_change_verdicts():
+    block, long = "<p>A sentence of seven words stands here.</p>", f"<p>{'word ' * 50}</p>"
+    link, text = "<p><a href=x>Go on</a></p>", "A sentence of seven words stands here."
+    kept = {name: text in htmltext.main_text(html) for name, html in {"between text": long + block + long, "after links": long + link + block + link, "at the end": long + block, "alone": block}.items()}
+    assert kept == {"between text": True, "after links": False, "at the end": False, "alone": True}
+
+
+def test_link_density_changes_verdicts():
+    long = f"<p>{'word ' * 50}</p>"
+    for share, kept in ((0, True), (20, False)):
+        words = ["word"] * (20 - share) + ["<a href=x>word</a>"] * share
+        assert (htmltext.main_text(long + f"<p>{' '.join(words)}</p>" + long).count("\n") == 2) is kept
+    tree = htmltext.default_tree()
+    assert htmltext.FEATURES[tree[0]] in ("words", "links", "words_before", "links_before", "words_after", "links_after")
