@@ -15,6 +15,7 @@ the loss of executors.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ REMEMBERED = 16_000_000
 MARKS = b".,;:!?*#%&$"
 #: Documents that are encoded together.
 TOGETHER = 256
+#: Characters of a text that part rows of one id.
+TIE = 32
 #: Bytes of text that are looked at together.
 BUFFER = 1 << 20
 GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
@@ -125,8 +128,9 @@ class _Encoder:
     apart by the ids that end a word; others between bars, as a bar by itself is
     one id, which no piece without a bar gives. Marks after a word are encoded apart
     where the tokenizer parts them anyway. Texts whose characters all are
-    Latin-1 (so none combine) are lower-cased beforehand where the tokenizer
-    does so itself: fewer pieces are distinct.
+    Latin-1 (so none combine) are lower-cased beforehand where the tokenizer's
+    definition does so itself: fewer pieces are distinct. Added tokens are found
+    before normalising, so texts that hold one in any case stay as they are.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -137,7 +141,12 @@ class _Encoder:
         self.end = np.array([vocabulary.end_id], self.dtype).tobytes()
         self.levels: list[np.ndarray] = []
         self.pool, self.letters = _Pool(self.dtype), _Pool(np.uint8)
-        self.lowers = all(self._ids(c) == self._ids(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        definition = json.loads(self.tokenizer.to_str())
+        steps = definition["normalizer"] or {}
+        steps = [n["type"] for n in steps.get("normalizers", [steps]) if n]
+        self.lowers = "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"}
+        self.lowers = self.lowers and all(self._ids(c) == self._ids(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        self.added = [t["content"].lower().encode() for t in definition["added_tokens"]]
         self.bar = self._ids("|")
         self.lean, self.ends = self._lean()
         self.bounds = all(self._ids(a + m + m) == self._ids(a) + self._ids(m + m) for a in ("the", "thx", "9") for m in MARKS.decode())
@@ -163,7 +172,10 @@ class _Encoder:
 
     def _raw(self, text: str) -> bytes:
         raw = text.encode()
-        return raw.lower() if self.lowers and _latin(text) else raw
+        if not self.lowers or not _latin(text):
+            return raw
+        lower = raw.lower()
+        return raw if any(t in lower for t in self.added) else lower
 
     def _fresh(self, new: list[bytes]) -> list[bytes]:
         """The ids of distinct pieces."""
@@ -355,8 +367,14 @@ BLOCKS = "shard int, block int, start long, doc_ids array<{0}>, lengths array<lo
 
 
 def tokenised(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Raw blocks of whole documents in ascending order of doc_id (nulls first), ties in order of text."""
-    ordered = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    """Raw blocks of whole documents in ascending order of doc_id (nulls first), ties in order of text.
+
+    Rows of one id are dealt to shards by the first ``TIE`` characters of their
+    texts and then by their place, so any number may bear it; where more than
+    these agree, texts are in order within their shard only.
+    """
+    keyed = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"__tie": F.substring("text", 1, TIE), "__place": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange("doc_id", "__tie", "__place").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

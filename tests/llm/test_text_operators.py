@@ -296,6 +296,27 @@ def test_encoder_agrees_with_the_tokenizer(monkeypatch, buffer):
         assert np.frombuffer(got, "<u2").tolist() == [*encoder._ids(text), 2], text
 
 
+def test_added_tokens_in_any_case():
+    encoder = tokenfile.encoder(tokenfile.Vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    rng = random.Random(3)
+    texts = ["<|EndOfText|>", "x <|STARTOFTEXT|> y", "Thing<|endoftext|>THE", "<|endoftext|>.", "<|endoftext|>é", "<|ENDOFTEXT|>\u0301A", "A <|endoftext| >"]
+    for token in encoder.tokenizer.get_added_tokens_decoder().values():
+        for _ in range(150):
+            cased = "".join(rng.choice((c, c.upper())) if rng.random() < 0.2 else c for c in token.content)
+            texts.append("".join(rng.choice(["Aé ", cased, token.content, "B", ".", "|", " "]) for _ in range(rng.randrange(1, 9))))
+    for text, got in zip(texts, encoder.encoded(texts)):
+        assert np.frombuffer(got, "<u2").tolist() == [*encoder._ids(text), 2], text
+
+
+def test_rows_of_one_id_are_dealt_to_many_shards(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    docs = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("same beginning of all the texts, then "), (F.col("id") % 3).cast("string")).alias("text"))
+    raw = tokenfile.tokenised(docs, tokenfile.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))).where("counts is null")
+    sizes = [r.n for r in raw.groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000
+
+
 def test_words_of_one_hash_are_told_apart(monkeypatch):
     real = tokenfile._words
 
