@@ -1,28 +1,37 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-Every sentence of a whole text that holds a licence cue becomes a sparse vector
-of word counts times inverse template frequency (words that no template has
-weigh as the rarest) and is compared with the notices below. So does every
-comment (its lines joined, its marks dropped) and every whole text that holds a
-cue; these are compared with headers and texts of licences too. Cosines of
+Every sentence of a whole text, cut at line ends and again with lines joined,
+becomes a sparse vector of word counts times inverse template frequency (words
+that no template has weigh as the rarest) and is compared with the notices
+below. So do every comment (its lines joined, its marks dropped) and every whole
+text; these are compared with headers and texts of licences too. Cosines of
 ``threshold`` or more are finds, and a file's own licence is its best find, by
 headers and texts if there are any, else by notices. A
 file is a licence file if its name says so or finds make up half of its words;
 it licenses its directory. Files without a find inherit from their nearest
 ancestor directory that is licensed, by joins on directory paths. All steps are
 DataFrame functions.
+
+Most text never meets a template, and none is lost by that. The squared weights
+of a template's words that stand in a text sum to the square of their cosine or
+more. And a text's product with a template, over the least length that its
+number of words and of distinct words allow, is their cosine or more. Both
+bounds are taken within each row; what stays below the threshold goes.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from importlib.resources import files as resources
-from math import log
+from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import written
+from scanloom.llm.common import bitmap, in_bitmap, written
 
 #: Licence names and the sentences of their usual notices.
 NOTICES = (
@@ -83,13 +92,15 @@ HEADERS = (
 #: Licences whose whole texts lie in ``license_texts``.
 TEXTS = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
 
-#: A sentence is compared if it holds one of these, in lower case.
-CUES = ("licen", "copyright", "copies", "redistribut", "public domain", "rights reserved", "compliance with", "hereby granted", "waived all")
 WORDS = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
+#: Ends of sentences in a text's lines, and in its paragraphs (lines joined).
 SENTENCE_END = r"\n|(?<=[.!?;])\s+"
+PARAGRAPH_END = r"(?<=[.!?])\s+|\n[ \t\r]*\n\s*"
 #: What a comment line begins with, and how comments of several lines open and close (as regex) and close (as it stands).
-LINE_MARK = r"(?m)^[ \t]*+(?:#++!?|//++[/!]*+|/\*++|\*++/?|--++|;++|%++|<!--++|(?i:rem|dnl)\b)"
+LINE_MARK = r"(?dm)^[ \t]*+(?:#++!?|//++[/!]*+|/\*++|\*++/?|--++|;++|%++|<!--++|(?i:rem|dnl)\b)"
 LONG_COMMENTS = ((r"/\*", "*/"), ("<!--", "-->"), ('"{3}', None), ("'{3}", None))
+#: Slots that words share in sums of squared weights.
+SLOTS = 1 << 12
 FILE_NAME = r"(?i)^(?:un)?licen[cs]e|^copying|^copyright|^notice"
 
 
@@ -105,13 +116,6 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-def _has_cue(lowered: Column) -> Column:
-    out = F.lit(False)
-    for cue in CUES:
-        out = out | F.contains(lowered, F.lit(cue))
-    return out
-
-
 def whole_templates() -> tuple[tuple[str, str], ...]:
     """Licence names and what comments and whole texts are compared with: notices, headers and texts.
 
@@ -122,27 +126,73 @@ def whole_templates() -> tuple[tuple[str, str], ...]:
     return (*NOTICES, *HEADERS, *texts.items(), ("AGPL-3.0", affero))
 
 
+def vectors(named: tuple[tuple[str, str], ...]) -> list[tuple[int, str, str, float, float]]:
+    """notice, license, term, weight (unit length) and idf of each term of each template."""
+    counts = [Counter(re.findall(WORDS, text.lower())) for _, text in named]
+    held = Counter(term for c in counts for term in c)
+    idf = {term: log((1.0 + len(named)) / (1 + n)) + 1 for term, n in held.items()}
+    norms = [sqrt(sum((n * idf[term]) ** 2 for term, n in c.items())) for c in counts]
+    return [(k, named[k][0], term, n * idf[term] / norms[k], idf[term]) for k, c in enumerate(counts) for term, n in sorted(c.items())]
+
+
 def templates(spark: SparkSession, named: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
-    """notice, license, term, weight (unit length) and idf of each term of each notice: a fixed small table."""
-    notices = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(named)], "notice int, license string, text string")
-    counts = notices.select("notice", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("notice", "license", "term").agg(F.count("*").alias("tf"))
-    n = len(named)
-    idf = counts.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1 + F.count("*"))) + 1).alias("idf"))
-    weighed = counts.join(idf, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy("notice").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighed.join(norms, "notice").select("notice", "license", "term", (F.col("raw") / F.col("norm")).alias("weight"), "idf")
+    """``vectors`` as a table, which is small whatever the files."""
+    return spark.createDataFrame(vectors(named), "notice int, license string, term string, weight double, idf double")
+
+
+def bounds(spark: SparkSession, named: tuple[tuple[str, str], ...], params: LicenseParams) -> Callable[..., DataFrame]:
+    """A filter of rows by their column ``text``: those that hold enough of a template to be close to it, or to have a part that is (``parts``, a condition).
+
+    Words that share a slot count as the heavier of them, and as the more
+    frequent one in lengths, so no bound is too low.
+    """
+    n, weights = len(named), vectors(named)
+    rarest = log(1.0 + n) + 1
+    vocabulary = spark.createDataFrame([(t,) for t in sorted({term for _, _, term, _, _ in weights})], "word string")
+    slot = {r.word: r.slot for r in vocabulary.select("word", F.expr(f"hash(word) & {SLOTS - 1}").alias("slot")).collect()}  # words of the templates
+    squares, products, idfs = [0.0] * (SLOTS * n), [0.0] * (SLOTS * n), [rarest] * SLOTS
+    for k, _, term, weight, idf in weights:
+        s = slot[term]
+        squares[s * n + k] = max(squares[s * n + k], weight * weight)
+        products[s * n + k] = max(products[s * n + k], weight * idf)
+        idfs[s] = min(idfs[s], idf)
+
+    def listed(numbers: list[float]) -> Column:
+        return F.split(F.lit(",".join(f"{x:.6g}" for x in numbers)), ",").cast("array<float>")
+
+    given = {"__known": bitmap(vocabulary), "__squares": listed(squares), "__products": listed(products), "__idfs": listed(idfs), "__most": listed([max(products[s * n : (s + 1) * n]) for s in range(SLOTS)])}
+
+    def named_once(name: str, value: str, condition: str) -> str:
+        return f"exists(array({value}), {name} -> {condition})"  # the optimizer would compute a column for each of its uses
+
+    def slots(terms: str) -> str:
+        return f"transform(filter({terms}, t -> {in_bitmap('t', '__known')}), t -> hash(t) & {SLOTS - 1})"
+
+    def sums(slots: str, start: str, table: str) -> str:
+        return f"aggregate({slots}, array_repeat(cast({start} as float), {n}), (sums, s) -> transform(sums, (x, k) -> cast(x + get({table}, s * {n} + k) as float)))"
+
+    covered = f"exists({sums(slots('array_distinct(terms)'), '0', '__squares')}, x -> x >= {params.threshold ** 2 - 1e-3})"
+    length = f"{params.threshold - 1e-3} * aggregate(slots, cast({rarest} * size(terms) as double), (sum, s) -> sum + get(__idfs, s) - {rarest}) / sqrt(size(array_distinct(terms)))"
+    any_near = "aggregate(slots, cast(0 as double), (sum, s) -> sum + get(__most, s)) >= length"  # the same bound for all templates at once
+    near = named_once("slots", slots("terms"), named_once("length", length, f"{any_near} and exists({sums('slots', '-length', '__products')}, x -> x >= 0)"))
+    enough = named_once("terms", f"regexp_extract_all(lower(text), r'{WORDS}', 0)", f"size(terms) > 0 and (__parts or {near}) and {covered}")
+
+    def close(rows: DataFrame, parts: Column) -> DataFrame:
+        return rows.withColumns(given | {"__parts": parts}).where(enough).drop(*given, "__parts")
+
+    return close
 
 
-def finds(files: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
-    """row, sentence (its place), license, score, words, short (not by a header or a text) of each sentence that is close to a notice; ``files`` has row and text."""
-    cued = files.where(_has_cue(F.lower("text"))).select("row", F.posexplode(F.split("text", SENTENCE_END, -1)).alias("sentence", "text")).where(_has_cue(F.lower("text")))
-    return _close(cued, NOTICES, params)
+def lines_and_paragraphs(files: DataFrame) -> DataFrame:
+    """row, kind (0 by lines, 1 by paragraphs), sentence (its place) and text of each sentence."""
+    joined = F.regexp_replace("text", LINE_MARK, " ")
+    by_line = files.select("row", F.lit(0).alias("kind"), F.posexplode(F.split("text", SENTENCE_END, -1)).alias("sentence", "text"))
+    return by_line.unionByName(files.select("row", F.lit(1).alias("kind"), F.posexplode(F.split(joined, PARAGRAPH_END, -1)).alias("sentence", "text")))
 
 
-def whole_finds(files: DataFrame, params: LicenseParams = LicenseParams()) -> DataFrame:
-    """As ``finds``, of comments and whole texts that are close to a notice, a header or a licence's text."""
-    cued = files.where(_has_cue(F.lower("text"))).select("row", F.posexplode(blocks(F.col("text"))).alias("sentence", "text")).where(_has_cue(F.lower("text")))
-    return _close(cued, whole_templates(), params)
+def comments(files: DataFrame) -> DataFrame:
+    """row, kind (2), sentence (its place) and text of each comment and whole text."""
+    return files.select("row", F.lit(2).alias("kind"), F.posexplode(blocks(F.col("text"))).alias("sentence", "text"))
 
 
 def blocks(text: Column) -> Column:
@@ -152,7 +202,7 @@ def blocks(text: Column) -> Column:
 
     # Each piece is a line that is no comment, and the comment lines after it.
     pieces = F.split(F.regexp_replace(F.regexp_replace(text, "\\x01", " "), LINE_MARK, "\x01"), r"\n(?!\x01)", -1)
-    runs = F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^[^\x01][^\n]*+", "")), lambda x: F.contains(x, F.lit("\x01")))
+    runs = F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^[^\x01\n][^\n]*+", "")), lambda x: F.contains(x, F.lit("\x01")))
 
     def opened(opens: str, closes: str | None) -> Column:
         parts = F.split(text, opens, -1)
@@ -163,20 +213,21 @@ def blocks(text: Column) -> Column:
     return F.array_distinct(F.transform(F.concat(F.array(text), runs, *long), bare))
 
 
-def _close(items: DataFrame, named: tuple[tuple[str, str], ...], params: LicenseParams) -> DataFrame:
-    """The best of the templates ``named`` for each item (row, sentence, text) that is close to any."""
-    table = written(templates(items.sparkSession, named), "licenses-templates")
-    terms = items.select("row", "sentence", _terms(F.col("text")).alias("terms"))
-    counts = terms.select("row", "sentence", F.size("terms").alias("words"), F.explode("terms").alias("term")).groupBy("row", "sentence", "words", "term").agg(F.count("*").alias("tf"))
+def finds(items: DataFrame, named: tuple[tuple[str, str], ...], params: LicenseParams) -> DataFrame:
+    """row, kind, sentence, license, score, words, short (not by a header or a text): the best of the templates ``named`` for each item that is close to any."""
+    table = templates(items.sparkSession, named)
+    terms = bounds(items.sparkSession, named, params)(items, F.lit(False)).withColumn("terms", _terms(F.col("text")))
+    item = ["row", "kind", "sentence"]
+    counts = terms.select(*item, F.size("terms").alias("words"), F.explode("terms").alias("term")).groupBy(*item, "words", "term").agg(F.count("*").alias("tf"))
     counts = written(counts, "licenses-terms")
     rarest = log((1.0 + len(named)) / 1.0) + 1
     idf = table.select("term", "idf").distinct()
-    weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("raw", F.col("tf") * F.coalesce("idf", F.lit(rarest)))  # words of the notices
-    norms = weighed.groupBy("row", "sentence").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    products = weighed.join(F.broadcast(table.select("notice", "license", "term", "weight")), "term").groupBy("row", "sentence", "words", "notice", "license").agg(F.sum(F.col("raw") * F.col("weight")).alias("product"))
-    scored = products.join(norms, ["row", "sentence"]).withColumn("score", F.round(F.col("product") / F.col("norm"), 6)).where(F.col("score") >= params.threshold)
-    best = scored.groupBy("row", "sentence", "words").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("license").alias("license"), F.col("notice").alias("notice"))).alias("b"))
-    return best.select("row", "sentence", F.col("b.license").alias("license"), (-F.col("b.neg")).alias("score"), "words", (F.col("b.notice") < len(NOTICES)).alias("short"))
+    weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("raw", F.col("tf") * F.coalesce("idf", F.lit(rarest)))  # words of the templates
+    norms = weighed.groupBy(*item).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    products = weighed.join(F.broadcast(table.select("notice", "license", "term", "weight")), "term").groupBy(*item, "words", "notice", "license").agg(F.sum(F.col("raw") * F.col("weight")).alias("product"))
+    scored = products.join(norms, item).withColumn("score", F.round(F.col("product") / F.col("norm"), 6)).where(F.col("score") >= params.threshold)
+    best = scored.groupBy(*item, "words").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("license").alias("license"), F.col("notice").alias("notice"))).alias("b"))
+    return best.select(*item, F.col("b.license").alias("license"), (-F.col("b.neg")).alias("score"), "words", (F.col("b.notice") < len(NOTICES)).alias("short"))
 
 
 def parents(directory: Column) -> Column:
@@ -198,18 +249,24 @@ def license_scan(files: DataFrame, path: Column, params: LicenseParams = License
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     named = files.select(F.col(key).alias("key"), F.coalesce(path, F.lit("")).alias("path"), text.alias("text"))
-    row = F.xxhash64("key", "path", "text")
-    listed = named.withColumn("row", row).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
-    texts = listed.select("row", "text").where(F.length("text") > 0)
-    found = finds(texts, params).withColumn("whole", F.lit(False)).unionByName(whole_finds(texts, params).withColumn("whole", F.lit(True)))
-    found = written(found, "licenses-finds")
-    # Repeated rows double the counts of their sentences: a sentence has one direction, so its cosine stays.
+    # Finds depend on the text alone, so copies share theirs.
+    listed = named.withColumn("row", F.md5("text")).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    everything = whole_templates()  # the notices are the first of them
+    commented = F.col("text").rlike(LINE_MARK)
+    for opens, _ in LONG_COMMENTS:
+        commented = commented | F.col("text").rlike(opens)
+    texts = []
+    for few, parts in ((NOTICES, F.lit(True)), (everything, commented)):
+        may = bounds(files.sparkSession, few, params)(listed.select("row", "text"), parts)
+        texts.append(written(may.withColumn("all_words", F.size(_terms(F.col("text")))), "licenses-texts"))
+    # Repeated rows multiply the counts of their sentences: a sentence has one direction, so its cosine stays.
+    found = written(finds(lines_and_paragraphs(texts[0]), NOTICES, params).unionByName(finds(comments(texts[1]), everything, params)), "licenses-finds")
     # A header or text that is found counts before the sentences in it, such as "All rights reserved."
-    per_row = found.groupBy("row").agg(F.min(F.struct("short", (-F.col("score")).alias("neg"), F.col("license").alias("license"))).alias("b"), F.greatest(F.sum(F.when(~F.col("whole"), F.col("words"))), F.max(F.when(F.col("whole"), F.col("words")))).alias("found_words"))
-    own = per_row.select(F.col("row").alias("of"), F.col("b.license").alias("own"), (-F.col("b.neg")).alias("own_score"), "found_words")
+    words = [F.coalesce(how(F.when(F.col("kind") == k, F.col("words"))), F.lit(0)) for k, how in enumerate((F.sum, F.sum, F.max))]
+    per_row = found.groupBy("row").agg(F.min(F.struct("short", (-F.col("score")).alias("neg"), F.col("license").alias("license"))).alias("b"), F.greatest(*words).alias("found_words"))
+    own = per_row.join(texts[0].union(texts[1]).select("row", "all_words").distinct(), "row").select(F.col("row").alias("of"), F.col("b.license").alias("own"), (-F.col("b.neg")).alias("own_score"), "found_words", "all_words")
     name = F.regexp_extract("path", "[^/]*$", 0)
-    slim = listed.select("key", "path", "dir", "row", F.when(_has_cue(F.lower("text")), F.size(_terms(F.col("text")))).otherwise(0).alias("all_words"))
-    scanned = slim.join(own, F.col("row") == F.col("of"), "left").withColumn("is_file", F.col("own").isNotNull() & (name.rlike(FILE_NAME) | (F.col("found_words") >= params.file_share * F.col("all_words"))))
+    scanned = listed.select("key", "path", "dir", "row").join(own, F.col("row") == F.col("of"), "left").withColumn("is_file", F.col("own").isNotNull() & (name.rlike(FILE_NAME) | (F.col("found_words") >= params.file_share * F.col("all_words"))))
     scanned = written(scanned.select("key", "path", "dir", "own", "own_score", "is_file"), "licenses-own")
     licensed = scanned.where("is_file").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("neg"), F.col("own").alias("license"))).alias("b")).select(F.col("dir").alias("licensed_by"), F.col("b.license").alias("given"), (-F.col("b.neg")).alias("given_score"))
     above = scanned.select("dir").distinct().select("dir", F.posexplode(parents(F.col("dir"))).alias("up", "licensed_by"))

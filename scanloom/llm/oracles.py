@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from scanloom.llm import decontaminate
 from scanloom.llm.hostrules import RULES, HostRuleParams
-from scanloom.llm.licenses import CUES, NOTICES, LicenseParams
+from scanloom.llm.licenses import NOTICES, LicenseParams, whole_templates
 
 
 def hosts_sql(params: HostRuleParams = HostRuleParams()) -> str:
@@ -39,27 +39,44 @@ from f join v on f.source is not distinct from v.source
 
 
 def licenses_sql(params: LicenseParams = LicenseParams()) -> str:
-    """op1: the same vectors and joins."""
-    notices = ", ".join("({}, '{}', '{}')".format(k, a, b.replace("'", "''")) for k, (a, b) in enumerate(NOTICES))
-    n = len(NOTICES)
+    """op1: every sentence, comment and whole text against every template, and the same joins."""
     terms = r"regexp_extract_all(lower({0}), '[a-z]+|[0-9]+(?:\.[0-9]+)*')"
-    cued = "(" + " or ".join(f"contains(lower(x), '{c}')" for c in CUES) + ")"
+    mark = r"^[ \t]*(?:#+!?|//+[/!]*|/\*+|\*+/?|--+|;+|%+|<!--+|(?i:rem|dnl)\b)"
+    bare = f"regexp_replace({{0}}, '(?m){mark}', ' ', 'g')"
     own_name = r"regexp_matches(path, '(^|/)((?i)(un)?licen[cs]e|(?i)copying|(?i)copyright|(?i)notice)[^/]*$')"
+
+    def listed(named: tuple[tuple[str, str], ...]) -> str:
+        return ", ".join("({}, '{}', '{}')".format(k, a, b.replace("'", "''")) for k, (a, b) in enumerate(named))
+
+    def weighed(name: str, named: tuple[tuple[str, str], ...]) -> str:
+        return f"""
+{name}_t as (select notice, license, term, count(*) tf from (select notice, license, unnest({terms.format('text')}) term from (values {listed(named)}) t(notice, license, text)) group by all),
+{name}_i as (select term, ln((1.0 + {len(named)}) / (1 + count(*))) + 1 idf from {name}_t group by term),
+{name}_w as (select notice, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by notice)) weight from {name}_t join {name}_i using (term)),"""
+
+    def scored(name: str, source: str, n: int) -> str:
+        return f"""
+{name}_st as (select r, k, i, words, term, count(*) tf from (select r, k, i, len(ts) words, unnest(ts) term from (select r, k, i, {terms.format('x')} ts from {source})) group by all),
+{name}_u as (select r, k, i, words, term, tf * coalesce(idf, ln({n} + 1.0) + 1) raw from {name}_st left join {name}_i using (term)),
+{name}_n as (select r, k, i, sqrt(sum(raw * raw)) norm from {name}_u group by r, k, i),
+{name}_s as (select r, k, i, words, license, notice, round(sum(raw * weight) / any_value(norm), 6) score from {name}_u join {name}_w using (term) join {name}_n using (r, k, i) group by r, k, i, words, notice, license),
+{name}_b as (select r, k, words, license, score, notice < {len(NOTICES)} short from {name}_s where score >= {params.threshold} qualify row_number() over (partition by r, k, i order by score desc, license, notice) = 1),"""
+
+    everything = whole_templates()
     return rf"""
-with notices as (select * from (values {notices}) t(notice, license, text)),
-nt as (select notice, license, term, count(*) tf from (select notice, license, unnest({terms.format('text')}) term from notices) group by all),
-idf as (select term, ln((1.0 + {n}) / (1 + count(*))) + 1 idf from nt group by term),
-tw as (select notice, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by notice)) weight from nt join idf using (term)),
+with {weighed('few', NOTICES)} {weighed('all', everything)}
 d as (select row_number() over () r, doc_id, concat_ws('/', source, lang, cast(doc_id as varchar)) path, coalesce(text, '') t from documents),
 p as (select *, regexp_replace(path, '/?[^/]*$', '') dir from d),
-sl as (select r, string_split(regexp_replace(t, '([.!?;])\s+', '\1' || chr(10), 'g'), chr(10)) l from d),
-s as (select r, i, x from (select r, unnest(range(1, len(l) + 1)) i, unnest(l) x from sl) where {cued}),
-st as (select r, i, words, term, count(*) tf from (select r, i, len(ts) words, unnest(ts) term from (select r, i, {terms.format('x')} ts from s)) group by all),
-uw as (select r, i, words, term, tf * coalesce(idf, ln({n} + 1.0) + 1) raw from st left join idf using (term)),
-un as (select r, i, sqrt(sum(raw * raw)) norm from uw group by r, i),
-sc as (select r, i, words, license, round(sum(raw * weight) / any_value(norm), 6) score from uw join tw using (term) join un using (r, i) group by r, i, words, notice, license),
-b as (select * from sc where score >= {params.threshold} qualify row_number() over (partition by r, i order by score desc, license) = 1),
-o as (select r, arg_min(license, (-score, license)) own, max(score) own_score, sum(words) found from b group by r),
+sl as (select r, 0 k, string_split(regexp_replace(t, '([.!?;])\s+', '\1' || chr(10), 'g'), chr(10)) l from d union all select r, 1, string_split(regexp_replace({bare.format('t')}, '([.!?])\s+|\n[ \t\r]*\n\s*', '\1' || chr(1), 'g'), chr(1)) from d),
+s as (select r, k, unnest(range(1, len(l) + 1)) i, unnest(l) x from sl),
+ln as (select r, unnest(range(1, len(y) + 1)) i, unnest(y) x from (select r, string_split(t, chr(10)) y from d)),
+lm as (select r, i, x, sum(case when regexp_matches(x, '{mark}') then 0 else 1 end) over (partition by r order by i) g from ln),
+cm as (select r, string_agg(x, chr(10) order by i) x from lm where regexp_matches(x, '{mark}') group by r, g),
+lg as (select r, unnest(list_transform(string_split(t, '/*')[2:], lambda y: string_split(y, '*/')[1])) x from d union all select r, unnest(list_transform(string_split(t, '<!--')[2:], lambda y: string_split(y, '-->')[1])) from d union all select r, unnest(string_split(t, repeat(chr(34), 3))[2:]) from d union all select r, unnest(string_split(t, repeat(chr(39), 3))[2:]) from d),
+bk as (select r, 2 k, row_number() over () i, {bare.format('x')} x from (select r, t x from d union all select r, x from cm union all select r, x from lg)),
+{scored('few', 's', len(NOTICES))} {scored('all', 'bk', len(everything))}
+b as (select * from few_b union all select * from all_b),
+o as (select r, arg_min(license, (short, -score, license)) own, arg_min(score, (short, -score, license)) own_score, greatest(coalesce(sum(case when k = 0 then words end), 0), coalesce(sum(case when k = 1 then words end), 0), coalesce(max(case when k = 2 then words end), 0)) found from b group by r),
 a as (select doc_id, path, dir, own, own_score, own is not null and ({own_name} or found >= {params.file_share} * len({terms.format('t')})) is_file from p left join o using (r)),
 lic as (select dir licensed_by, arg_min(own, (-own_score, own)) given, max(own_score) given_score from a where is_file group by dir),
 up as (select distinct dir, dir || '/' under from a),

@@ -66,9 +66,10 @@ def license_of(text):
         return {w: x / norm for w, x in v.items()}
 
     best = None
-    for sentence in re.split(licenses.SENTENCE_END, text or ""):
+    joined = re.sub(licenses.LINE_MARK.replace("(?dm)", "(?m)"), " ", text or "")
+    for sentence in re.split(licenses.SENTENCE_END, text or "") + re.split(licenses.PARAGRAPH_END, joined):
         terms = re.findall(licenses.WORDS, sentence.lower())
-        if terms and any(c in sentence.lower() for c in licenses.CUES):
+        if terms:
             u = unit(Counter(terms))
             for name, c in counts:
                 v = unit(c)
