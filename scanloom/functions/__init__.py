@@ -14,6 +14,10 @@ scanline, as files are read, and then need not gather them.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +26,6 @@ PLANE = [*IMAGE, "chan"]
 PIXEL = [*PLANE, "y", "x"]
 PX_SCHEMA = "img long, pag int, w int, h int, chan int, y int, x int, v double"
 ROWS_SCHEMA = "img long, pag int, w int, h int, chan int, y int, row array<double>"
-PLANES_SCHEMA = "img long, pag int, w int, h int, chan int, plane binary"
 
 ALPHA, SELECTION = 0, 4
 
@@ -67,6 +70,25 @@ def to_px(rows: DataFrame) -> DataFrame:
     return rows.select(*PLANE, "y", F.posexplode("row").alias("x", "v"))
 
 
+def map_rows(px: DataFrame, work: Callable[[np.ndarray, pd.DataFrame], np.ndarray], planes: Column | None = None) -> DataFrame:
+    """Scanlines changed by numpy: ``work(samples, keys)`` gets scanlines of one length as a matrix, and their keys (img to y).
+
+    Any new width goes. Scanlines are independent, so nothing is gathered but
+    pixels to scanlines; on other planes than ``planes`` they pass.
+    """
+    rows = to_rows(px)
+    asked = rows if planes is None else rows.where(planes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby("w"):
+                made = work(np.stack(part["row"].to_numpy()).astype(float), part[[*PLANE, "y"]])
+                yield part.assign(row=list(made), w=made.shape[1])
+
+    out = to_px(asked.mapInPandas(run, ROWS_SCHEMA))
+    return out if planes is None else out.unionByName(to_px(rows.where(~planes)))
+
+
 def sized(rows: DataFrame, w: Column | str = "w", h: Column | str = "h") -> DataFrame:
     """The columns of a relation in order, with a new size."""
     w, h = (F.col(c) if isinstance(c, str) else c for c in (w, h))

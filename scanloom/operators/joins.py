@@ -53,6 +53,12 @@ def darker(first: DataFrame, *others: DataFrame) -> DataFrame:
     return least.select("img", "own.pag", "own.w", "own.h", "chan", "y", "x", "v").select(*PIXEL, "v").unionByName(rest)
 
 
+def darkest(px: DataFrame, img: int = 1) -> DataFrame:
+    """The pointwise least of all images of a set, as one image: one pass over the set."""
+    kept = [F.min(c).alias(c) for c in ("pag", "w", "h")]
+    return px.where(colour()).groupBy("chan", "y", "x").agg(*kept, F.min("v").alias("v")).withColumn("img", F.lit(img).cast("long")).select(*PIXEL, "v")
+
+
 def fix_background(px: DataFrame, distance: float) -> DataFrame:
     """Divide an image by its own background."""
     from scanloom.operators.scan import background

@@ -1,7 +1,8 @@
-"""Sequential recursions and fixed-point solvers: one image is one task's work.
+"""Sequential recursions and fixed-point solvers.
 
-Planes go to numpy by Arrow, scanline by scanline, grouped by image; every
-half-sweep is one array expression.
+Planes go to numpy by Arrow, scanline by scanline: one plane is one task's work
+where planes do not depend on each other, one image where they do, and banded
+solves take scanlines as they come. Every half-sweep is one array expression.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.functions import PLANE, ROWS_SCHEMA, to_px, to_rows
+from scanloom.functions import PLANE, ROWS_SCHEMA, colour, map_rows, to_px, to_rows
+from scanloom.operators.geometry import transposed
 
 Planes = dict[int, np.ndarray]
-#: A solver without a count of sweeps gives up after so many.
+#: A solver without a count of steps raises an error after so many.
 MOST_SWEEPS = 200_000
+#: Steps from one measuring of the error to the next: two that measure, and half-sweeps.
+PERIOD = 16
 
 
 def per_image(px: DataFrame, work: Callable[..., Planes], *others: DataFrame) -> DataFrame:
@@ -41,8 +45,16 @@ def per_image(px: DataFrame, work: Callable[..., Planes], *others: DataFrame) ->
     return to_px(tagged.groupBy("img").applyInPandas(run, ROWS_SCHEMA))
 
 
-def _coloured(planes: Planes, f) -> Planes:
-    return {c: f(p) if 1 <= c <= 3 else p for c, p in planes.items()}
+def per_plane(px: DataFrame, work: Callable[[np.ndarray], np.ndarray], last: int, first: int = 0) -> DataFrame:
+    """``work(plane)`` for each of the planes ``first`` to ``last`` of all images, each by itself; others pass."""
+    asked = F.col("chan").between(first, last)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("y")
+        return rows.assign(row=list(work(np.stack(rows["row"].to_numpy()).astype(float))))
+
+    rows = to_rows(px)
+    return to_px(rows.where(asked).groupBy("img", "chan").applyInPandas(run, ROWS_SCHEMA).unionByName(rows.where(~asked)))
 
 
 def _away(x: float) -> float:
@@ -78,7 +90,7 @@ def floyd_plane(plane: np.ndarray, step: float, compat: bool = False) -> np.ndar
 
 def floyd_dither(px: DataFrame, step: float, compat: bool = False) -> DataFrame:
     """Error-diffusion dither of the planes 0 to 3."""
-    return per_image(px, lambda planes: {c: floyd_plane(p, step, compat) if c <= 3 else p for c, p in planes.items()})
+    return per_plane(px, lambda p: floyd_plane(p, step, compat), 3)
 
 
 def solve_bands(a: np.ndarray, b: np.ndarray, c: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -134,21 +146,22 @@ def deconvolve_vector(vec: DataFrame, a: float, b: float, c: float, border: int
     return vec.select("vec_id", "i", "v").groupBy("vec_id").applyInPandas(run, "vec_id long, i int, v double")
 
 
-def _deconvolved_rows(plane: np.ndarray, a: float, b: float, c: float, border: bool) -> np.ndarray:
-    rows = slice(None) if border else slice(1, len(plane) - 1)
-    out = plane.copy()
-    out[rows] = solve_bands(*_bands(plane.shape[1], a, b, c), plane[rows].T).T
-    return out
+def deconvolve_3x1(px: DataFrame, a: float, b: float, c: float, border: bool = False) -> DataFrame:
+    """Undo a 3-tap convolution of every row (with ``border``, of the first and last too); ends are kept. Scanlines are solved as they come."""
 
+    def solved(samples: np.ndarray, keys: pd.DataFrame) -> np.ndarray:
+        inner = np.full(len(keys), True) if border else ((keys["y"] > 0) & (keys["y"] < keys["h"] - 1)).to_numpy()
+        out = samples.copy()
+        if inner.any():
+            out[inner] = solve_bands(*_bands(samples.shape[1], a, b, c), samples[inner].T).T
+        return out
 
-def deconvolve_3x1(px: DataFrame, a: float, b: float, c: float, border: bool = False) -> DataFrame:
-    """Undo a 3-tap convolution of every row (with ``border``, of the first and last too); ends are kept."""
-    return per_image(px, lambda planes: _coloured(planes, lambda p: _deconvolved_rows(p, a, b, c, border)))
+    return map_rows(px, solved, colour())
 
 
 def deconvolve_1x3(px: DataFrame, a: float, b: float, c: float, border: bool = False) -> DataFrame:
     """Undo a 3-tap convolution of every column."""
-    return per_image(px, lambda planes: _coloured(planes, lambda p: _deconvolved_rows(p.T, a, b, c, border).T))
+    return transposed(deconvolve_3x1(transposed(px), a, b, c, border))
 
 
 def half_plane(p: np.ndarray) -> np.ndarray:
@@ -212,10 +225,16 @@ def _free(shape: tuple[int, int], mask: np.ndarray | None) -> np.ndarray:
     return free
 
 
-def poisson_halfsweep_plane(g: np.ndarray, target: np.ndarray, k: float, n: int, mask: np.ndarray | None = None) -> np.ndarray:
-    """Cells with x + y + n odd set to what their neighbours ask for."""
-    y, x = np.indices(g.shape)
-    return np.where(_free(g.shape, mask) & ((x + y + n) % 2 == 1), _neighbours(g, (target - 128) / k), g)
+def _poisson_turns(shape: tuple[int, int], mask: np.ndarray | None) -> list[np.ndarray]:
+    """The free cells with x + y + n odd, for n = 0 and 1."""
+    y, x = np.indices(shape)
+    free = _free(shape, mask)
+    return [free & ((x + y + n) % 2 == 1) for n in (0, 1)]
+
+
+def _poisson_swept(g: np.ndarray, rhs: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """A half-sweep: the turn's cells set to what their neighbours ask for."""
+    return np.where(turn, _neighbours(g, rhs), g)
 
 
 def poisson_error(g: np.ndarray, target: np.ndarray, k: float, mask: np.ndarray | None = None) -> float:
@@ -224,20 +243,24 @@ def poisson_error(g: np.ndarray, target: np.ndarray, k: float, mask: np.ndarray
     return float(sqrt((((_neighbours(g, (target - 128) / k) - g)[free]) ** 2).mean())) if free.any() else 0.0
 
 
+def _rounds(steps: int):
+    """The number of half-sweeps after each measuring: ``steps`` in all, measuring included, or (0) as many as are asked for."""
+    left = steps - 1 if steps > 0 else MOST_SWEEPS
+    while left > 0:
+        yield min(PERIOD, left) - 2
+        left -= PERIOD
+    if steps <= 0:
+        raise ArithmeticError(f"the solver has not converged after {MOST_SWEEPS} half-sweeps")
+
+
 def _relaxed(g: np.ndarray, target: np.ndarray, k: float, steps: int, tol: float, mask: np.ndarray | None) -> np.ndarray:
-    """Half-sweeps; every sixteenth step measures instead. ``steps`` 0: until the error is small enough."""
-    y, x = np.indices(g.shape)
-    free, rhs = _free(g.shape, mask), (target - 128) / k
-    turns = [free & ((x + y + n) % 2 == 1) for n in (0, 1)]
-    n, last = 0, steps - 1 if steps > 0 else MOST_SWEEPS
-    while n < last:
-        if n % 16 == 0:
-            n += 1
-            if poisson_error(g, target, k, mask) <= tol:
-                break
-        else:
-            g = np.where(turns[n % 2], _neighbours(g, rhs), g)
-        n += 1
+    """Half-sweeps until the error, taken before each round of them, is small enough, or ``steps`` are done."""
+    turns, rhs = _poisson_turns(g.shape, mask), (target - 128) / k
+    for sweeps in _rounds(steps):
+        if poisson_error(g, target, k, mask) <= tol:
+            break
+        for n in range(sweeps):
+            g = _poisson_swept(g, rhs, turns[n % 2])
     return g
 
 
@@ -269,19 +292,12 @@ def poisson_solve(guess: DataFrame, target: DataFrame, k: float = -0.25, steps:
 
 
 def poisson_halfsweep(guess: DataFrame, target: DataFrame, k: float, n: int) -> DataFrame:
-    """One half-sweep, as a query: each cell with its four neighbours by windows."""
-    from pyspark.sql import Window
+    """One half-sweep of the solver, of the cells with x + y + n odd."""
 
-    from scanloom.operators.joins import combined
+    def work(g: Planes, t: Planes) -> Planes:
+        return {c: _poisson_swept(p, (t[c] - 128) / k, _poisson_turns(p.shape, t.get(0))[n % 2]) if 1 <= c <= 3 and c in t else p for c, p in g.items()}
 
-    x_line, y_line = Window.partitionBy("img", "chan", "y").orderBy("x"), Window.partitionBy("img", "chan", "x").orderBy("y")
-    near = guess.where(F.col("chan").between(1, 3)).withColumns({"l": F.lag("v").over(x_line), "r": F.lead("v").over(x_line)})
-    near = near.withColumns({"t": F.lag("v").over(y_line), "b": F.lead("v").over(y_line)})
-    rhs = (F.col("u") - 128.0) / float(k)
-    across, along = F.col("l") + F.col("r"), F.col("t") + F.col("b")
-    asked = F.when(across.isNotNull() & along.isNotNull(), (across + along - rhs) / 4).when(across.isNotNull(), (across - rhs) / 2).when(along.isNotNull(), (along - rhs) / 2).otherwise(F.col("v"))
-    turn = (F.col("x") + F.col("y") + n) % 2 == 1
-    return combined(near, target, F.when(turn, asked).otherwise(F.col("v"))).select(*guess.columns).unionByName(guess.where(~F.col("chan").between(1, 3)))
+    return per_image(guess, work, target)
 
 
 def poisson_residual(guess: DataFrame, target: DataFrame, k: float) -> DataFrame:
@@ -307,39 +323,35 @@ def convolve_plane(p: np.ndarray, a: float, b: float, c: float, d: float) -> np.
     return out
 
 
-def _deconvolution_relaxed(p: np.ndarray, o: np.ndarray, kernel: tuple[float, float, float, float], steps: int, tol: float) -> np.ndarray:
-    a, b, c, d = kernel
-    damp = a * a / (a * a + 2 * b * b + 2 * c * c + 4 * d * d)
-    y, x = np.indices(p.shape)
-    inner = np.zeros(p.shape, bool)
-    inner[1:-1, 1:-1] = True
-    # Columns are counted from 1, rows from 0: the turns of a checkerboard.
-    turns = [inner & ((x - 1 - (n + y)) % 2 == 0) for n in (0, 1)]
-
-    def change(o: np.ndarray) -> np.ndarray:
-        return (p - convolve_plane(o, 0, b, c, d)) / a - o
-
-    n, last, error = 0, steps - 1 if steps > 0 else MOST_SWEEPS, 0.0
-    while n < last:
-        t = change(o)
-        if n % 16 < 2:
-            error = (error if n % 16 else 0.0) + float((t[turns[n % 2]] ** 2).sum())
-            if n % 16 == 1 and sqrt(error / max(inner.sum(), 1)) <= tol:
-                break
-        else:
-            o = np.where(turns[n % 2], o + t * damp, o)
-        n += 1
-    return o
+def _deconvolution_turns(shape: tuple[int, int]) -> list[np.ndarray]:
+    """The inner cells of a checkerboard, for even and odd n: columns are counted from 1, rows from 0."""
+    y, x = np.indices(shape)
+    inner = (x > 0) & (y > 0) & (x < shape[1] - 1) & (y < shape[0] - 1)
+    return [inner & ((x - 1 - (n + y)) % 2 == 0) for n in (0, 1)]
 
 
+def _change(p: np.ndarray, o: np.ndarray, kernel: tuple[float, float, float, float]) -> np.ndarray:
+    """What each cell lacks for its neighbours."""
+    a, *others = kernel
+    return (p - convolve_plane(o, 0, *others)) / a - o
 
 
-def _deconvolution_once(p, o, kernel, n):
+def _deconvolution_swept(p: np.ndarray, o: np.ndarray, kernel: tuple[float, float, float, float], turn: np.ndarray) -> np.ndarray:
+    """A damped half-sweep of the turn's cells."""
     a, b, c, d = kernel
-    y, x = np.indices(p.shape)
-    inner = (x > 0) & (y > 0) & (x < p.shape[1] - 1) & (y < p.shape[0] - 1)
-    t = (p - convolve_plane(o, 0, b, c, d)) / a - o
-    return np.where(inner & ((x - 1 - (n + y)) % 2 == 0), o + t * (a * a / (a * a + 2 * b * b + 2 * c * c + 4 * d * d)), o)
+    return np.where(turn, o + _change(p, o, kernel) * (a * a / (a * a + 2 * b * b + 2 * c * c + 4 * d * d)), o)
+
+
+def _deconvolution_relaxed(p: np.ndarray, o: np.ndarray, kernel: tuple[float, float, float, float], steps: int, tol: float) -> np.ndarray:
+    """Half-sweeps until the error, taken before each round of them, is small enough, or ``steps`` are done."""
+    turns = _deconvolution_turns(p.shape)
+    inner = turns[0] | turns[1]
+    for sweeps in _rounds(steps):
+        if sweeps >= 0 and sqrt(float((_change(p, o, kernel)[inner] ** 2).sum()) / max(inner.sum(), 1)) <= tol:
+            break
+        for n in range(sweeps):
+            o = _deconvolution_swept(p, o, kernel, turns[n % 2])
+    return o
 
 
 def deconvolved_plane(p: np.ndarray, kernel: tuple[float, float, float, float], steps: int, tol: float) -> np.ndarray:
@@ -361,9 +373,9 @@ def deconvolved_plane(p: np.ndarray, kernel: tuple[float, float, float, float],
 
 def deconvolve_3x3(px: DataFrame, a: float, b: float, c: float, d: float, steps: int = 0, tol: float = 0.01) -> DataFrame:
     """Undo ``scan.convolve_3x3`` on the colour planes."""
-    return per_image(px, lambda planes: _coloured(planes, lambda p: deconvolved_plane(p, (a, b, c, d), steps, tol)))
+    return per_plane(px, lambda p: deconvolved_plane(p, (a, b, c, d), steps, tol), 3, 1)
 
 
 def deconvolution_halfsweep(px: DataFrame, guess: DataFrame, a: float, b: float, c: float, d: float, n: int) -> DataFrame:
     """One damped half-sweep of the deconvolution of px from a guess."""
-    return per_image(guess, lambda g, p: {k: _deconvolution_once(p[k], v, (a, b, c, d), n) if 1 <= k <= 3 else v for k, v in g.items()}, px)
+    return per_image(guess, lambda g, p: {k: _deconvolution_swept(p[k], v, (a, b, c, d), _deconvolution_turns(v.shape)[n % 2]) if 1 <= k <= 3 else v for k, v in g.items()}, px)

@@ -68,14 +68,37 @@ def argmax(series: DataFrame, keys: list[str], at: str, value: str) -> DataFrame
 
 
 def statistics(px: DataFrame) -> DataFrame:
-    """Of each image: threshold t at the greatest edge energy, edges and area there, and the five derived figures."""
-    sums = cumulative(edge_histograms(px), ["edges", "energy"])
-    t = argmax(sums, ["img"], "level", "energy").select(F.col("img").alias("of"), F.col("level").alias("t"))
-    edges = sums.join(t, (F.col("img") == F.col("of")) & (F.col("level") == F.col("t"))).select("img", "t", "edges")
-    counts = histogram(px).join(edges, "img")
+    """Of each image: threshold t at the greatest edge energy, edges and area there, and the five derived figures.
+
+    One pass over plane 1 counts levels and pairs of levels together; all the
+    rest looks at the 256 levels of an image at most.
+    """
+    rows = to_plane_rows(px.where("chan = 1")).withColumn("down", F.lead("row").over(Window.partitionBy("img", "chan").orderBy("y")))
+
+    def at(x: Column) -> Column:
+        a = level(F.get("row", x))
+        paired = F.col("down").isNotNull() & (x < F.col("w") - 1)
+        pairs = [F.when(paired, level(F.get(*b))).otherwise(-1) for b in (("row", x + 1), ("down", x))]
+        return F.array(F.struct(a.alias("a"), F.lit(-1).alias("b")), *(F.struct(a.alias("a"), b.alias("b")) for b in pairs))
+
+    # A pair with level -1 is none: such rows count the first level of an array of three alone.
+    one = rows.select("img", F.posexplode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("w") - 1), at))).alias("place", "p")).select("img", (F.col("place") % 3 == 0).alias("alone"), "p.*")
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    counted = one.where("alone or b >= 0").groupBy("img", "alone", "a", "b").agg(F.count("*").alias("n"))
+    square, zero = (b - a) * (b - a) * n, F.lit(0).cast("long")
+
+    def step(at: Column, n: Column, edges: Column, energy: Column) -> Column:
+        return F.struct(at.alias("level"), n.alias("n"), edges.alias("edges"), energy.alias("energy"))
+
+    none = step(F.lit(0), zero, zero, zero)  # every image has level 0
+    steps = F.when(F.col("alone"), F.array(step(a, n, zero, zero), none)).otherwise(F.array(step(F.least("a", "b"), zero, n, square), step(F.greatest("a", "b"), zero, -n, -square)))
+    levels = counted.select("img", F.explode(steps).alias("s")).groupBy("img", "s.level").agg(*(F.sum(f"s.{c}").alias(c) for c in ("n", "edges", "energy")))
+    so_far, whole = Window.partitionBy("img").orderBy("level").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("img")
+    sums = levels.select("img", "level", "n", *(F.sum(c).over(so_far).alias(c) for c in ("edges", "energy")))
+    best = F.max(F.struct("energy", (-F.col("level")).alias("neg"), "edges")).over(whole)
+    found = sums.select("img", "level", "n", (-best["neg"]).alias("t"), best["edges"].alias("edges"))
     dark = F.col("level") <= F.col("t")
-    n = F.col("n")
-    made = counts.groupBy("img", "t", "edges").agg(
+    made = found.groupBy("img", "t", "edges").agg(
         F.sum(F.when(dark, n).otherwise(0)).alias("area"), F.sum(F.when(~dark, n).otherwise(0)).alias("light"),
         F.sum(F.when(dark, n * F.col("level")).otherwise(0)).alias("dark_sum"), F.sum(F.when(~dark, n * (F.col("level") - 1)).otherwise(0)).alias("light_sum"),
     )

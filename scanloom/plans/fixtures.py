@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanloom.functions import PIXEL
@@ -60,10 +60,9 @@ def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five pages of 60 x 48 gray, one per kind of event."""
     e = table(spark, sf_dir, "events")
-    kinds = e.select("event_type").distinct()
-    page = kinds.alias("a").join(kinds.alias("b"), F.col("a.event_type") >= F.col("b.event_type")).groupBy("a.event_type").agg(F.count("*").cast("int").alias("pag"))
     x = (F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")) * 2 + F.floor(F.hour("ts") / 12)).cast("int")
     sums = e.groupBy("event_type", (F.col("user_id") % 48).cast("int").alias("y"), x.alias("x")).agg(F.sum(F.round(F.col("value") * 100)).cast("long").alias("s"))
+    page = sums.select("event_type").distinct().withColumn("pag", F.row_number().over(Window.orderBy("event_type")))  # one row per kind
     dense = page.crossJoin(places(spark, 60, 48)).join(sums, ["event_type", "y", "x"], "left")  # one row per kind
     return as_image(dense.select("pag", F.lit(1).alias("chan"), "y", "x", (F.coalesce("s", F.lit(0)) % 256).alias("v")), 60, 48, F.col("pag"), F.col("pag"))
 

@@ -69,6 +69,7 @@ class Machine:
     output: list[object] = field(default_factory=list)
     ex: float = 25.0
     parity: str | None = None
+    heights: dict[int, tuple[DataFrame, DataFrame]] = field(default_factory=dict)
 
     def top(self, depth: int = 1) -> DataFrame:
         """The item at a depth from the top, from 1."""
@@ -99,8 +100,32 @@ class Machine:
         self.top(2)
         self.stack[-2:] = self.stack[:-3:-1]
 
-    def replace(self, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Change the top item, on the pages of the parity asked for."""
+    def ex_of(self, item: DataFrame) -> DataFrame:
+        """img and ex, the height of its letters, of an item's images: what was set for them, else the session's."""
+        known = self.heights.get(id(item))
+        return known[1] if known else item.select("img").distinct().withColumn("ex", F.lit(float(self.ex)))
+
+    def inherit(self, new: DataFrame, old: DataFrame, factor: float = 1.0) -> DataFrame:
+        """An item made of another keeps its ex, times a factor."""
+        known = self.heights.get(id(old))
+        if known or factor != 1:
+            table = self.ex_of(old)
+            self.heights[id(new)] = (new, table if factor == 1 else table.withColumn("ex", F.col("ex") * factor))
+        return new
+
+    def set_ex(self, h: float) -> None:
+        """Set the top images' ex, below 1 as a share of their heights; the first image's becomes the session's."""
+        if h <= 0:
+            raise PipelineError("ex: the height must be positive")
+        old = self.top()
+        new = old.select("*")  # copies of the item elsewhere on the stack keep theirs
+        table = old.groupBy("img").agg((F.max("h") * float(h) if h < 1 else F.lit(float(h))).alias("ex"))
+        self.stack[-1] = new
+        self.heights[id(new)] = (new, table)
+        self.ex = float(h) if h >= 1 else table.orderBy("img").first()["ex"]
+
+    def replace(self, change: Callable[[DataFrame], DataFrame], factor: float = 1.0) -> None:
+        """Change the top item, on the pages of the parity asked for; ``factor`` is what becomes of its ex."""
         old, rest = self.top(), None
         part = old
         if self.parity and "pag" in old.columns:
@@ -108,7 +133,7 @@ class Machine:
             part, rest = pointwise.by_parity(old, odd), pointwise.by_parity(old, not odd)
         self.popped.append(self.stack.pop())
         new = change(part)
-        self.stack.append(new if rest is None else new.unionByName(rest))
+        self.stack.append(self.inherit(new if rest is None else new.unionByName(rest), old, factor))
 
     def merge(self, change: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """The top two items become one: ``change(below, top)``."""
@@ -153,12 +178,6 @@ def _page_number(n: float) -> int:
     return int(n)
 
 
-def _positive(x: float) -> float:
-    if x <= 0:
-        raise PipelineError("ex: the height must be positive")
-    return x
-
-
 def _fill_value(token: str) -> float | None:
     if token == "-":
         return None
@@ -171,9 +190,9 @@ def _histogram(px: DataFrame, chan: int) -> DataFrame:
 
 
 def _split(m: Machine, halves: tuple[DataFrame, DataFrame]) -> None:
-    m.pop()
-    m.push(halves[1])
-    m.push(halves[0])
+    old = m.pop()
+    m.push(m.inherit(halves[1], old))
+    m.push(m.inherit(halves[0], old))
 
 
 def _command(m: Machine, name: str, args: list[str]) -> int:
@@ -185,14 +204,14 @@ def _command(m: Machine, name: str, args: list[str]) -> int:
         "grid": lambda s: m.replace(lambda p: pointwise.grid(p, s)),
         "chan": lambda n: m.replace(lambda p: pointwise.extract_channel(p, int(n))),
         "histo": lambda n: m.push(_histogram(m.top(), int(n))),
-        "double": lambda k: m.replace(lambda p: geometry.double(p, k)),
+        "double": lambda k: m.replace(lambda p: geometry.double(p, k), 2.0),
         "rot": lambda a: m.replace(lambda p: geometry.rotate(p, a)),
         "skew": lambda a: m.replace(lambda p: geometry.skew(p, a)),
         "splitx": lambda n: _split(m, geometry.split_x(m.top(), n)),
         "splity": lambda n: _split(m, geometry.split_y(m.top(), n)),
         "pois": lambda t: m.merge(lambda g, p: solvers.poisson_solve(g, p, tol=t)),
         "pag": lambda n: m.replace(lambda p: p.withColumn("pag", F.lit(_page_number(n)))),
-        "ex": lambda h: setattr(m, "ex", _positive(h)),
+        "ex": m.set_ex,
         "test": lambda n: m.replace(lambda p: scan.convolve_3x3(p, 4, -1, -1, 0)),
     }
     none: dict[str, Callable[[], object]] = {

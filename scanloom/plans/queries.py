@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.functions import to_px
+from scanloom.functions import PIXEL, map_rows, to_px
 from scanloom.operators import geometry, joins, pointwise, scan, solvers, stats
 from scanloom.plans import fixtures as X
+from scanloom.plans import pipeline
 from scanloom.sources import create, pnm
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +91,7 @@ def _joined() -> None:
     _register("patch_roundtrip", PX, lambda s, d: joins.patch(joins.diff(_page(s, d, 1), _page(s, d, 2)), _page(s, d, 2)), "select chan, y, x, v from f4 where pag = 1")
     _register("divide", PX, lambda s, d: joins.divide(_page(s, d, 1), _page(s, d, 2)), f"select chan, y, x, case when u = 0 then 255 else v / u * 255 end v from {pair}")
     _register("darker_two", PX, lambda s, d: joins.darker(_page(s, d, 1), _page(s, d, 2)), f"select chan, y, x, least(v, u) v from {pair}")
-    _register("darker_many", PX, lambda s, d: joins.darker(*(_page(s, d, k) for k in range(1, 6))), "select chan, y, x, min(v) v from f4 group by chan, y, x")
+    _register("darker_many", PX, lambda s, d: joins.darkest(X.f4(s, d)), "select chan, y, x, min(v) v from f4 group by chan, y, x")
     _register("masked_add", PX, lambda s, d: joins.masked_add(pointwise.opaque(X.f3(s, d)), pointwise.opaque(X.f3(s, d)), X.f3(s, d)), "select f.chan, f.y, f.x, case when m.v >= 1 then f.v + f.v - 128 else f.v end v from f3 f join f3 m on m.chan = 0 and m.y = f.y and m.x = f.x where f.chan <> 0")
     _register("residual", PX, lambda s, d: joins.residual(pointwise.opaque(X.f3(s, d)), X.f3(s, d)), "select chan, y, x, 128 v from f3 where chan <> 0")
 
@@ -127,23 +129,37 @@ def _redouble(src: str, axis: str, n: int, odd: bool) -> str:
     return _along(src, axis, size, cell)
 
 
-def _shear_x(src: str, t: float, w: int, h: int) -> str:
-    d = f"cast(floor((y - {h // 2}) * {t!r}) as integer)"
-    part = f"((y - {h // 2}) * {t!r} - floor((y - {h // 2}) * {t!r}))"
+def _shear_x(src: str, t: float | str, w: int, h: int) -> str:
+    t = t if isinstance(t, str) else repr(t)
+    d = f"cast(floor((y - {h // 2}) * {t}) as integer)"
+    part = f"((y - {h // 2}) * {t} - floor((y - {h // 2}) * {t}))"
     start = f"(case when {d} > 0 then least(k, {w - 1} - {d}) else greatest(k, 1 - {d}) end)"
     at = f"least(greatest({start} + {d}, 0), {w - 1})"
     before = f"least(greatest({start} + {d} - 1, 0), {w - 1})"
     return _along(src, "x", w, f"{part} * a[{at} + 1] + (1 - {part}) * a[{before} + 1]")
 
 
-def _shear_y(src: str, t: float, w: int, h: int) -> str:
-    d = f"cast(floor(({w // 2} - x) * {t!r}) as integer)"
-    part = f"(({w // 2} - x) * {t!r} - floor(({w // 2} - x) * {t!r}))"
+def _shear_y(src: str, t: float | str, w: int, h: int) -> str:
+    t = t if isinstance(t, str) else repr(t)
+    d = f"cast(floor(({w // 2} - x) * {t}) as integer)"
+    part = f"(({w // 2} - x) * {t} - floor(({w // 2} - x) * {t}))"
     at = f"least(greatest(k + {d}, 0), {h - 1})"
     after = f"least(greatest(k + {d} + 1, 0), {h - 1})"
     return _along(src, "y", h, f"(1 - {part}) * a[{at} + 1] + {part} * a[{after} + 1]")
 
 
+def _skew_angle() -> str:
+    """SQL of F1's angle: the bracket search over the scores of all slopes it can ask for."""
+    scores = f"(with {_STEPS} select list(score order by d) from (select d, coalesce(sum(b * b), 0) score from (select d, y + case when d >= 0 then s else 64 - s end k, sum(t) b from (select y, t, d, cast(floor(((x + 1) * (abs(d) + 1) - 1) / 64.0) as integer) s from gz, (select unnest(range(-60, 61)) d)) group by 1, 2) group by d))"
+    return f"""(with recursive sc as materialized (select {scores} q),
+ br as (select 0 n, 6 a, -6 b union all select n + 1, case when q[a + 61] > q[b + 61] then a else cast(trunc((5 * b - 2 * a) / 3.0) as integer) end, case when q[a + 61] > q[b + 61] then cast(trunc((5 * a - 2 * b) / 3.0) as integer) else b end from br, sc where abs(a - b) > 1),
+ en as (select case when q[b + 61] > q[a + 61] then b else a end d from br, sc order by n desc limit 1)
+ select degrees(atan((d + sign(d)) / 64.0)) angle from en)"""
+
+
+_STEPS = "gs as (select y, x, abs(v - lead(v) over (partition by x order by y)) t from f1), gr as (select sqrt(sum(t * t) / (64.0 * 47)) rms from gs), gz as (select y, x, t from gs, gr where t >= rms and t > 0)"
+
+
 def _shaped() -> None:
     w, h = X.W, X.H
     whole = f"{IMG} {PX}"
@@ -178,8 +194,10 @@ def _shaped() -> None:
     sin = math.sin(math.radians(3))
     tan = sin / (1 + math.cos(math.radians(3)))
     _register("skew_fixed", PX, _f1(lambda p: geometry.skew(p, 3)), f"select * from {_shear_x(_shear_y(_shear_x('f1', tan, w, h), sin, w, h), tan, w, h)}")
-    _register("detect_skew", "img angle", _f1(stats.detect_skew))
-    _register("deskew", PX, _f1(geometry.deskew))
+    angle = _skew_angle()
+    _register("detect_skew", "img angle", _f1(stats.detect_skew), f"select 1 img, angle from {angle}", "angle")
+    sin, tan = (f"(select {f} from {angle})" for f in ("sin(radians(angle))", "sin(radians(angle)) / (1 + cos(radians(angle)))"))
+    _register("deskew", PX, _f1(geometry.deskew), f"select * from {_shear_x(_shear_y(_shear_x('f1', tan, w, h), sin, w, h), tan, w, h)}")
 
 
 _X_LINE, _Y_LINE = "(partition by chan, y order by x)", "(partition by chan, x order by y)"
@@ -232,7 +250,7 @@ def _reduced() -> None:
     _register("bin_auto", PX, bin_auto, f"select chan, y, x, case when v <= t then 0.0 else 255.0 end v from f1, (with {_EDGES} select t from th)")
     stretched = f"select f.chan, f.y, f.x, case when f.v <= s.black * 255 then 0 when f.v >= s.white * 255 then 255 else (f.v - s.black * 255) * 255 / (s.white * 255 - s.black * 255) end v from f1 f, ({figures}) s"
     _register("contrast_auto", PX, _f1(lambda p: pointwise.contrast_auto(p, stats.statistics(p))), stretched)
-    steps = "gs as (select y, x, abs(v - lead(v) over (partition by x order by y)) t from f1), gr as (select sqrt(sum(t * t) / (64.0 * 47)) rms from gs), gz as (select y, x, t from gs, gr where t >= rms and t > 0)"
+    steps = _STEPS
     _register("gradient_rms", "img rms", _f1(stats.gradient_rms), f"select 1 img, rms from (with {steps} select * from gr)", "rms")
     bucket = "y + case when d >= 0 then s else 64 - s end"
     scores = f"with {steps} select 1 img, d, sum(b * b) score from (select d, {bucket} k, sum(t) b from (select y, t, d, cast(floor(((x + 1) * (abs(d) + 1) - 1) / 64.0) as integer) s from gz, (select unnest([-6, -3, 0, 2, 5]) d)) group by 1, 2) group by d"
@@ -246,6 +264,20 @@ def bin_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pointwise.binarize_auto(px, stats.statistics(px))
 
 
+def _diffused(step: int, ahead: str, behind: str) -> str:
+    """SQL of the error diffusion of F1, a sample at a time: this row and the next one as lists."""
+    w, h = X.W, X.H
+    return f"""(with recursive im as materialized (select list(r order by y) m from (select y, list(v order by x) r from f1 group by y)),
+ wk as (select 0 k, 0 y, 1 x, false back, 1 s, m[1] cur, m[2] nxt, cast(null as double) v, 0 oy, 0 ox from im
+  union all
+  select k + 1, (k + 1) // {w}, case when ((k + 1) // {w}) % 2 = 1 then {w} - (k + 1) % {w} else (k + 1) % {w} + 1 end, ((k + 1) // {w}) % 2 = 1, case when ((k + 1) // {w}) % 2 = 1 then -1 else 1 end,
+   case when k % {w} = {w - 1} then below else here end, case when k % {w} = {w - 1} then coalesce(m[y + 3], list_transform(below, lambda z: 0.0)) else below end, new, y, x - 1
+  from (select *, list_transform(range(1, {w + 1}), lambda j: case when j = x + s then cur[j] + 7 * e else cur[j] end) here,
+    list_transform(range(1, {w + 1}), lambda j: case when j = x then nxt[j] + 5 * e when j = x + s then nxt[j] + ({ahead}) * e when j = x - s then nxt[j] + ({behind}) * e else nxt[j] end) below
+   from (select wk.*, m, round(cur[x] / {step}.0) * {step} new, (cur[x] - round(cur[x] / {step}.0) * {step}) / 16 e from wk, im where k < {w * h})))
+ select 1 chan, oy y, ox x, v from wk where k > 0)""".join(("select * from ", ""))
+
+
 def _small(p: DataFrame) -> DataFrame:
     """F1 cut to 24 x 20: one level of multigrid."""
     return geometry.crop_y(geometry.crop_x(p, 0, 24), 0, 20)
@@ -274,11 +306,56 @@ def _solved_on(suffix: str, taken: Callable[[DataFrame], DataFrame], cut: str, w
     o = f"(select *, lag(s) over {_Y_LINE} + lead(s) over {_Y_LINE} g from {c3})"
     _register(f"deconv_halfsweep{suffix}", PX, _f1(lambda p: solvers.deconvolution_halfsweep(taken(p), inverted(taken(p)), *kernel, 2)), f"select chan, y, x, case when s is not null and b is not null and (x - 1 - (2 + y)) % 2 = 0 then v + ((p + 0.5 * s + 0.25 * b - 0.125 * g) / 4 - v) * {damp!r} else v end v from {o}")
     # The solution is the image and a plane through what the guess differs by at the corners; to two decimals.
-    corner = "(select 128 - v from f1 where x = {0} and y = {1})"
+    corner = f"(select 128 - v from {cut} where x = {{0}} and y = {{1}})"
     bent = f"(1 - y / {h - 1}.0) * ((1 - x / {w - 1}.0) * {corner.format(0, 0)} + x / {w - 1}.0 * {corner.format(w - 1, 0)}) + y / {h - 1}.0 * ((1 - x / {w - 1}.0) * {corner.format(0, h - 1)} + x / {w - 1}.0 * {corner.format(w - 1, h - 1)})"
+    if w > X.W:  # with the image's own corners the solution is the image: no ties to round
+        corners = lambda: F.col("x").isin(0, w - 1) & F.col("y").isin(0, h - 1)
+        _register(f"poisson_solve{suffix}", PX, _f1(lambda p: _two(solvers.poisson_solve(taken(p).withColumn("v", F.when(corners(), F.col("v")).otherwise(128.0)), scan.laplacian(taken(p)), tol=1e-9))), f"select * from {cut}")
+        return
     _register(f"poisson_solve{suffix}", PX, _f1(lambda p: _two(solvers.poisson_solve(pointwise.fill(taken(p), {1: 128}), scan.laplacian(taken(p)), tol=1e-9))), f"select chan, y, x, round(v + {bent}, 2) v from {cut}")
 
 
+def _tiled(p: DataFrame) -> DataFrame:
+    """F1 four times, side by side: 128 x 96, so the solvers recur to coarser levels."""
+    spread = p.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    return spread.select("img", "pag", (F.col("w") * 2).alias("w"), (F.col("h") * 2).alias("h"), "chan", (F.col("y") + F.col("h") * F.floor(F.col("t") / 2)).cast("int").alias("y"), (F.col("x") + F.col("w") * (F.col("t") % 2)).cast("int").alias("x"), "v")
+
+
+_TILED = "(select chan, cast(y + 48 * (t // 2) as integer) y, cast(x + 64 * (t % 2) as integer) x, v from f1, (select unnest(range(4)) t))"
+
+
+def _solved_large() -> None:
+    """Solvers on images whose sides are over 64, and with a mask: every level of multigrid takes part."""
+    kernel = (4, -0.5, -0.25, 0.125)
+    _solved_on("_large", _tiled, _TILED, 128, 96)
+    _register("deconvolve_3x3_large", PX, _f1(lambda p: _two(solvers.deconvolve_3x3(scan.convolve_3x3(_tiled(p), *kernel), *kernel, tol=1e-9))), f"select * from {_TILED}")
+
+    def masked(s: SparkSession, d: str) -> DataFrame:
+        """Where alpha is 255 the guess is gray; the target is F3's own laplacian, so the solution is F3."""
+        f3 = X.f3(s, d)
+        alpha = f3.where("chan = 0")
+        gray = joins.masked_add(pointwise.opaque(f3), pointwise.opaque(f3).withColumn("v", 256 - F.col("v")), f3)
+        corner = F.col("g.x").isin(0, X.W - 1) & F.col("g.y").isin(0, X.H - 1)
+        both = gray.alias("g").join(f3.alias("f"), [F.col(f"g.{c}") == F.col(f"f.{c}") for c in joins.PLACE])
+        guess = both.select(*(F.col(f"g.{c}") for c in PIXEL), F.when(corner, F.col("f.v")).otherwise(F.col("g.v")).alias("v"))
+        return _two(solvers.poisson_solve(guess, scan.laplacian(pointwise.opaque(f3)).unionByName(alpha), tol=1e-9))
+
+    _register("poisson_solve_masked", PX, masked, "select * from f3 where chan <> 0")
+
+    def pasted(s: SparkSession, d: str) -> DataFrame:
+        f3 = X.f3(s, d)
+        paste = f3.withColumn("v", F.when(F.col("chan") == 0, 255.0).otherwise(F.col("v")))
+        return _two(solvers.seamless_paste(paste, pointwise.opaque(f3).withColumn("v", 255 - F.col("v")), tol=1e-9))
+
+    w, h = X.W - 1, X.H - 1
+    bent = f"(1 - f.y / {h}.0) * ((1 - f.x / {w}.0) * c.a + f.x / {w}.0 * c.b) + f.y / {h}.0 * ((1 - f.x / {w}.0) * c.c + f.x / {w}.0 * c.d)"
+    ends = ", ".join(f"max(case when x = {x} and y = {y} then 255 - 2 * v end) {n}" for n, x, y in (("a", 0, 0), ("b", w, 0), ("c", 0, h), ("d", w, h)))
+    _register("seamless_paste_whole", PX, pasted, f"select f.chan, f.y, f.x, round(f.v + {bent}, 2) v from f3 f join (select chan, {ends} from f3 group by chan) c on c.chan = f.chan where f.chan <> 0")
+    near = "(select f.chan, f.y, f.x, f.v u, l.v g, m.v alpha from f3 f join ({}) l on l.chan = f.chan and l.y = f.y and l.x = f.x join f3 m on m.chan = 0 and m.y = f.y and m.x = f.x)".format(_laplacian("f1", False))
+    _register("residual_two", PX, lambda s, d: joins.residual(scan.laplacian(X.f1(s, d)), X.f3(s, d)), f"select chan, y, x, case when alpha < 1 then 128 else u - g + 128 end v from {near}")
+    _register("masked_add_two", PX, lambda s, d: joins.masked_add(X.f1(s, d), pointwise.opaque(X.f3(s, d)), X.f3(s, d)), "select f.chan, f.y, f.x, case when m.v >= 1 then f.v + c.v - 128 else f.v end v from f1 f join f3 c on c.chan = f.chan and c.y = f.y and c.x = f.x join f3 m on m.chan = 0 and m.y = f.y and m.x = f.x")
+
+
 def _solved() -> None:
     kernel = (4, -0.5, -0.25, 0.125)
     _solved_on("", _small, "(select * from f1 where x < 24 and y < 20)", 24, 20)
@@ -288,8 +365,8 @@ def _solved() -> None:
     _register("deconvolve_3x1", PX, _f1(lambda p: solvers.deconvolve_3x1(scan.convolve_3x3(p, 4, -1, 0, 0), -1, 4, -1)), "select * from f1")
     _register("deconvolve_1x3", PX, _f1(lambda p: solvers.deconvolve_1x3(scan.convolve_3x3(p, 4, 0, -1, 0), -1, 4, -1)), "select * from f1")
     _register("deconvolve_vector", "i v", lambda s, d: solvers.deconvolve_vector(scan.convolve_vector(X.f5(s, d), 1, 4, 1), 1, 4, 1), "select * from f5")
-    _register("floyd_dither", PX, _f1(lambda p: solvers.floyd_dither(p, 64)))
-    _register("floyd_dither_compat", PX, _f1(lambda p: solvers.floyd_dither(p, 64, compat=True)))
+    _register("floyd_dither", PX, _f1(lambda p: solvers.floyd_dither(p, 64)), _diffused(64, "1", "3"))
+    _register("floyd_dither_compat", PX, _f1(lambda p: solvers.floyd_dither(p, 64, compat=True)), _diffused(64, "case when back then 0 else 1 end", "case when back then 4 else 3 end"))
 
 
 def _sourced() -> None:
@@ -309,5 +386,93 @@ def _sourced() -> None:
     _register("export_row", PX, _f1(lambda p: create.export_row(p, scan.cumul(create.import_row(p, 1, 7)), 1, 7)), "select chan, y, x, case when y = 7 then sum(v) over (partition by y order by x) else v end v from f1")
 
 
-for _part in (_pointwise, _joined, _shaped, _scanned, _reduced, _solved, _sourced):
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share; a local one only without a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        base = "/tmp/checkpoints/scanloom"
+    path = f"{base.rstrip('/')}/raster-{uuid.uuid4().hex}"
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(root)
+    return path
+
+
+def _ran(words: str, *items: Callable[[SparkSession, str], DataFrame]) -> Query:
+    """What lies on top of the stack after the words, run over the items; {} is a fresh folder."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        machine = pipeline.Machine(spark, _STDIN)
+        for item in items:
+            machine.push(item(spark, sf_dir))
+        folder = _folder(spark) if "{}" in words else ""
+        return pipeline.run(spark, words.replace("{}", folder).split(), _STDIN, machine).top()
+
+    return query
+
+
+#: A gray image with comments in its header, as standard input gives it.
+_STDIN = b"P5 # gray\n# 12 by 5\n12 #w\n5\n255\n" + bytes((x * 7 + y * 31) % 256 for y in range(5) for x in range(12))
+
+
+def _told() -> None:
+    """The stack language, files and pages: what a user types."""
+    bin_ = "select chan, y, x, case when v <= 127.5 then 0 else 255 end v from f1"
+    stretched = "case when v <= 50 then 0 when v >= 200 then 255 else (v - 50) * 255 / 150.0 end"
+    _register("stack_copy_swap_diff", PX, _ran("copy con 50 200 swap diff", X.f1), f"select chan, y, x, {stretched} - v + 128 v from f1")
+    _register("stack_pop_unpop", PX, _ran("copy bin 0.5 pop unpop swap pop", X.f1), bin_)
+    _register("stack_unpop_before", PX, _ran("con 0 10 half unpop", X.f1), "select chan, y, x, case when v <= 0 then 0 when v >= 10 then 255 else v * 25.5 end v from f1")
+    _register("stack_quit", PX, _ran("bin 0.5 quit con 3 5 nonsense", X.f1), bin_)
+    _register("stack_odd_pages", "pag y x v", _ran("odd bin 0.5 all", X.f4), "select pag, y, x, case when pag % 2 = 0 then v when v <= 127.5 then 0 else 255 end v from f4")
+    _register("stack_page_number", "pag y x v", _ran("pag 17", X.f1), "select 17 pag, y, x, v from f1")
+    _register("stack_clone", PX, _ran("clone 2 8 6", X.f1), "select c chan, y, x, 0.0 v from (select unnest([0, 1]) c) cross join (select unnest(range(8)) x) cross join (select unnest(range(6)) y)")
+    _register("stack_stdin", PX, _ran("- cropx 2 12"), "select 1 chan, y, x - 2 x, (x * 7 + y * 31) % 256 v from (select unnest(range(12)) x) cross join (select unnest(range(5)) y) where x >= 2")
+    _register("stack_write_read", f"pag {PX}", _ran("pag 7 w file:{}/p%03d.pgm {}/p007.pgm con 50 200", X.f1), f"select 7 pag, chan, y, x, {stretched} v from f1")
+    _register("stack_write_read_pam", PX, _ran("pag 12 w file:{}/p%03d.pam {}/p012.pam", X.f3), "select * from f3")
+    _register("stack_write_read_png", PX, _ran("pag 3 w file:{}/p%03d.png {}/p003.png", X.f3), "select * from f3")
+    _register("stack_darker_files", PX, _ran("w file:{}/a.pgm w file:{}/b.pgm darker {}/a.pgm {}/b.pgm", X.f1, lambda s, d: _page_of_f3(s, d)), "select f.chan, f.y, f.x, least(f.v, g.v) v from f1 f join f3 g on g.chan = 1 and g.y = f.y and g.x = f.x")
+
+    def to_output(spark: SparkSession, d: str) -> DataFrame:
+        machine = pipeline.Machine(spark)
+        machine.push(X.f1(spark, d))
+        content = pipeline.run(spark, "w -".split(), machine=machine).output[0]
+        return to_px(pnm.read_images(spark.createDataFrame([("-", content)], "path string, content binary")))
+
+    _register("stack_write_output", PX, to_output, "select * from f1")
+
+    def ex(words: str) -> Query:
+        def query(spark: SparkSession, d: str) -> DataFrame:
+            machine = pipeline.Machine(spark)
+            machine.push(X.f1(spark, d))
+            return machine.ex_of(pipeline.run(spark, words.split(), machine=machine).top())
+
+        return query
+
+    _register("stack_ex", "img ex", ex("copy ex 0.25 pop unpop swap pop double 0.5 half"), "select 1 img, 24.0 ex", "ex")
+    _register("stack_ex_default", "img ex", ex("copy ex 30 pop"), "select 1 img, 30.0 ex", "ex")
+    kinds = ["0.5", "a.png", "7", "-", "w", ".0", "+3", "1.", "1.2.3", "fix-bg", "-0"]
+    _register("token_kinds", "line", lambda s, d: s.createDataFrame([(f"{t} {pipeline.token_kind(t)}",) for t in kinds], "line string"), "select unnest(['0.5 d', 'a.png f', '7 i', '- -', 'w w', '.0 d', '+3 i', '1. d', '1.2.3 f', 'fix-bg w', '-0 i']) line")
+    _register("help_lines", "line", lambda s, d: s.createDataFrame([(x.split()[0],) for x in pipeline.run(s, ["--help"]).output[0].splitlines()], "line string"), "select unnest(['images', 'stack', 'planes', 'values', 'shape', 'solvers', 'figures', 'pages']) line")
+
+    def message(words: str) -> str:
+        try:
+            pipeline.run(SparkSession.getActiveSession(), words.split())
+        except pipeline.PipelineError as error:
+            return str(error)
+        return ""
+
+    wrong = ("pop", "swap", "nonsense", "unpop", "image 1 1 1 pag 10000", "image 1 1 1 ex 0", "bin")
+    _register("stack_errors", "line", lambda s, d: s.createDataFrame([(message(w),) for w in wrong], "line string"), "select unnest(['Missing image', 'Missing image', 'nonsense: unknown command', 'Nothing was popped', 'pag: the number is too large', 'ex: the height must be positive', 'a parameter is missing']) line")
+    _register("new_vector", "i v", lambda s, d: create.new_vector(s, 9), "select unnest(range(9)) i, 0.0 v")
+    _register("clear_vector", "i v", lambda s, d: create.clear_vector(X.f5(s, d)), "select i, 0.0 v from f5")
+    _register("export_column", PX, _f1(lambda p: create.export_column(p, scan.cumul(create.import_column(p, 1, 9)), 1, 9)), "select chan, y, x, case when x = 9 then sum(v) over (partition by x order by y) else v end v from f1")
+    _register("map_rows", PX, _f1(lambda p: map_rows(p, lambda samples, keys: samples[:, ::-1].cumsum(axis=1))), "select chan, y, 63 - x x, sum(v) over (partition by y order by x desc) v from f1")
+
+
+def _page_of_f3(spark: SparkSession, d: str) -> DataFrame:
+    return pointwise.extract_channel(X.f3(spark, d), 1)
+
+
+for _part in (_pointwise, _joined, _shaped, _scanned, _reduced, _solved, _solved_large, _sourced, _told):
     _part()

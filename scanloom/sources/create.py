@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.functions import PIXEL, PLANE, rnd, sized
+from scanloom.functions import PIXEL, PLANE, sized
 
 #: Planes of an image by depth: alpha comes first where the depth is even.
 DEPTH_PLANES = {1: (1,), 2: (0, 1), 3: (1, 2, 3), 4: (0, 1, 2, 3)}
@@ -65,8 +65,3 @@ def export_row(px: DataFrame, vec: DataFrame, chan: int, y: int) -> DataFrame:
 def export_column(px: DataFrame, vec: DataFrame, chan: int, x: int) -> DataFrame:
     """A vector written over a column."""
     return _export(px, vec, chan, "x", x, "y")
-
-
-def rounded(px: DataFrame) -> DataFrame:
-    """Samples as whole numbers."""
-    return px.withColumn("v", rnd(F.col("v")))

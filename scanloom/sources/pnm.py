@@ -6,12 +6,14 @@ decoded plane stays one binary until scanlines are asked for.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -163,12 +165,25 @@ def encoded(px: DataFrame, png: bool = False) -> DataFrame:
     return rows.groupBy("img").applyInPandas(run, "img long, pag int, content binary")
 
 
+def write_file(path: str, content: bytes) -> None:
+    """Write a file under a passing name and move it to its own."""
+    if ":/" in path:
+        files, name = pyarrow.fs.FileSystem.from_uri(path)
+    else:
+        files, name = pyarrow.fs.LocalFileSystem(), os.path.abspath(path)
+    passing = f"{name}.{os.getpid()}.part"
+    with files.open_output_stream(passing) as f:
+        f.write(content)
+    files.move(passing, name)
+
+
 def write_images(px: DataFrame, template: str) -> DataFrame:
     """img and path of files written from the executors, each named by the template and its page (``p%03d.pgm``).
 
-    Executors write with Hadoop's file systems only through Spark's own writers,
-    so this writes to paths that every executor can open; elsewhere write the
-    rows of ``encoded`` as Parquet. JPEG files need a codec that is not here.
+    A template with a scheme (``hdfs://``, ``s3://``, ``gs://``, ``file:``) is
+    written through Arrow's file system of that scheme, one without as a local
+    path. A file appears under its name when it is whole, so a task that is run
+    again changes nothing. JPEG files need a codec that is not here.
     """
     if template.lower().endswith((".jpg", ".jpeg")):
         raise ValueError("JPEG files can be read, not written")
@@ -177,8 +192,7 @@ def write_images(px: DataFrame, template: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for one in batch.itertuples():
-                with open(one.path, "wb") as f:
-                    f.write(bytes(one.content))
+                write_file(one.path, bytes(one.content))
             yield batch[["img", "path"]]
 
     return named.mapInPandas(run, "img long, path string")

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scanloom.functions import PX_SCHEMA, to_px, to_rows
+from scanloom.__main__ import main
+from scanloom.functions import map_rows, PX_SCHEMA, to_px, to_rows
 from scanloom.operators import geometry, joins, pointwise, scan, solvers, stats
 from scanloom.plans import pipeline
 from scanloom.sources import create, pnm
@@ -212,3 +213,32 @@ def test_page_stream(spark, tmp_path):
         pages.process_pages(stream, lambda px: pointwise.binarize(px, 128), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     got = spark.read.schema(PX_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out")
     assert got.count() == 2 * GRAY.size and got.select("pag").distinct().count() == 2
+
+
+def test_map_rows(spark):
+    px = image(spark, GRAY, GRAY[::-1])
+    got = map_rows(px, lambda samples, keys: samples[:, :5] + keys["y"].to_numpy()[:, None], F.col("chan") == 2)
+    assert (plane(got, 2) == GRAY[::-1][:, :5] + np.arange(20)[:, None]).all() and (plane(got, 1) == GRAY).all()
+    assert got.where("chan = 2").first().w == 5
+
+
+def test_unconverged_solvers_raise(monkeypatch):
+    monkeypatch.setattr(solvers, "MOST_SWEEPS", 40)
+    with pytest.raises(ArithmeticError):
+        solvers.poisson_plane(np.full((9, 9), 128.0), RNG.normal(128, 40, (9, 9)), -0.25, 0, 1e-12)
+    with pytest.raises(ArithmeticError):
+        solvers.deconvolved_plane(RNG.normal(128, 40, (30, 30)), (1, -0.24, -0.24, 0), 0, 1e-12)
+    assert np.isfinite(solvers.poisson_plane(np.full((9, 9), 128.0), RNG.normal(128, 40, (9, 9)), -0.25, 30, 1e-12)).all()
+
+
+def test_files_are_written_by_scheme(spark, tmp_path):
+    pnm.write_images(image(spark, GRAY, pag=5), f"file:{tmp_path}/p%02d.pgm").collect()
+    assert (pnm.decode((tmp_path / "p05.pgm").read_bytes())[1] == GRAY).all() and [f.name for f in tmp_path.iterdir()] == ["p05.pgm"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "p1.pgm").write_bytes(pnm.encode({1: GRAY}))
+    assert main(["--help"]) == 0 and "splitx" in capsys.readouterr().out
+    assert main([f"{tmp_path}/p1.pgm", "bin", "0.5", "w", f"{tmp_path}/q%d.pgm"]) == 0
+    assert set(np.unique(pnm.decode((tmp_path / "q1.pgm").read_bytes())[1])) <= {0, 255}
+    assert main(["nonsense"]) == 1 and "unknown command" in capsys.readouterr().err
