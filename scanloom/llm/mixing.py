@@ -28,13 +28,14 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 
 @dataclass(frozen=True)
 class MixParams:
-    """``cycle``: weights of the sources in order of code point, repeating."""
+    """``cycle``: weights of the sources in order of code point, repeating. Beyond ``max_shards`` shards of a source they grow instead, so one task may rank them."""
 
     cycle: tuple[float, ...] = (5.0, 2.0, 1.0)
     total_share: float = 1.5
     max_repeat: int = 2
     block_words: int = 16
     shard_docs: int = 4_000
+    max_shards: int = 1 << 16
     seed: int = 29
 
 
@@ -43,6 +44,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def seeded(seed: int, *parts: Column) -> Column:
+    """A number below 2**60 of some columns: the first 15 hexadecimal digits of their MD5."""
+    told = [F.coalesce(p.cast("string"), F.lit("\x01")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x02", F.lit(str(seed)), *told)), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """source, source_size, blocks and target from (source, size, n_docs, blocks) sums.
 
@@ -116,9 +123,9 @@ def mixed(documents: DataFrame, params: MixParams = MixParams(), text: str = "te
     alike in id and size share their places in some order). An empty table
     gives no rows. Other columns are not read.
     """
-    sized = written(documents.select("doc_id", F.col(source).alias("source"), F.xxhash64("doc_id", text, F.lit(params.seed)).alias("order"), word_count(F.col(text)).alias("size")), "mixing-sizes")
+    sized = written(documents.select("doc_id", F.col(source).alias("source"), seeded(params.seed, F.col("doc_id"), F.col(source), F.col(text)).alias("order"), word_count(F.col(text)).alias("size")), "mixing-sizes")
     per_source = written(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), "mixing-sources")
-    shards = per_source.select(F.col("source").alias("of"), "source_size", F.ceil(F.col("n_docs") / params.shard_docs).cast("long").alias("n_shards"))
+    shards = per_source.select(F.col("source").alias("of"), "source_size", F.least(F.ceil(F.col("n_docs") / params.shard_docs), F.lit(params.max_shards)).cast("long").alias("n_shards"))
     dealt = sized.join(shards, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.pmod("order", "n_shards")).drop("of", "n_shards")
     per_shard = written(dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size")).withColumn("blocks", F.ceil(F.col("words") / params.block_words).cast("long")), "mixing-shards")
     sums = per_shard.groupBy("source").agg(F.first("source_size").alias("source_size"), F.sum("blocks").alias("blocks"))
@@ -129,7 +136,7 @@ def mixed(documents: DataFrame, params: MixParams = MixParams(), text: str = "te
     shard_votes = per_shard.join(quotas, F.col("source").eqNullSafe(F.col("of"))).select("source", "shard", "target", "blocks", "source_quota", F.col("blocks").cast("double").alias("vote"))
     shares = written(apportioned(shard_votes, ["source"], "vote", F.col("source_quota"), ["shard"]), "mixing-quotas").select(
         F.col("source").alias("of"), F.col("shard").alias("of_shard"), "target", "blocks", F.least("quota", F.col("blocks") * params.max_repeat).alias("quota"),
-        F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("source", "shard", F.lit(params.seed)), F.greatest("blocks", F.lit(1)))).otherwise(0).alias("first"),
+        F.when(F.col("blocks") > 0, F.pmod(seeded(params.seed, F.col("source"), F.col("shard")), F.greatest("blocks", F.lit(1)))).otherwise(0).alias("first"),
     )
     stream = Window.partitionBy("source", "shard").orderBy("order", F.col("doc_id"), "size")
     placed = dealt.withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
@@ -160,7 +167,7 @@ def mixed_documents(documents: DataFrame, params: MixParams = MixParams()) -> Da
     plan = sources.where("taken > 0").select(F.col("doc_id").alias("of"), F.col("order").alias("order"), "begin", "size", whole.alias("whole"), F.array(*ranges).alias("ranges"))
     plan = plan.select(F.col("of").alias("__of"), F.col("order").alias("__of_order"), F.row_number().over(again).alias("__of_nth"), F.struct("size", "whole", "ranges").alias("__plan"))
     plan = written(plan, "mixing-plan")
-    keyed = documents.withColumn("__order", F.xxhash64("doc_id", "text", F.lit(params.seed))).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__order").orderBy(F.lit(0))))
+    keyed = documents.withColumn("__order", seeded(params.seed, F.col("doc_id"), F.col("source"), F.col("text"))).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__order").orderBy(F.lit(0))))
     joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__order") == F.col("__of_order")) & (F.col("__nth") == F.col("__of_nth")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

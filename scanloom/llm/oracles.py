@@ -9,6 +9,7 @@ from __future__ import annotations
 from scanloom.llm import decontaminate
 from scanloom.llm.hostrules import RULES, HostRuleParams
 from scanloom.llm.licenses import NOTICES, LicenseParams, whole_templates
+from scanloom.llm.mixing import MixParams
 
 
 def hosts_sql(params: HostRuleParams = HostRuleParams()) -> str:
@@ -86,4 +87,36 @@ from a left join near using (dir)
 """
 
 
-ORACLES = {"op1_licenses": licenses_sql(), "op6_decontaminate": decontaminate.ORACLE, "op7_hostrules": hosts_sql()}
+def mixing_sql(params: MixParams = MixParams()) -> str:
+    """op10: seats given one by one to the highest quotients, words taken one by one."""
+
+    def seeded(*parts: str) -> str:
+        told = ", ".join(f"coalesce(cast({p} as varchar), chr(1))" for p in parts)
+        return f"cast('0x' || substr(md5(concat_ws(chr(2), '{params.seed}', {told})), 1, 15) as bigint)"
+
+    def seats(votes: str, group: str, tie: str) -> str:
+        over = f"partition by {group}" if group else ""
+        return f"(select * exclude (k, place), count(*) filter (where place <= seats and vote > 0) quota from (select *, row_number() over ({over} order by vote / (2 * k + 1) desc, {tie}) place from (select *, unnest(range({params.max_repeat} * cast(blocks as bigint) + 2)) k from {votes})) group by all)"
+
+    weights = ", ".join(map(str, params.cycle))
+    return rf"""
+with recursive d as (select row_number() over () r, doc_id, source, {seeded('doc_id', 'source', 'text')} o, cast(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) as bigint) size from documents),
+sz as (select source, count(*) n, cast(sum(size) as bigint) source_size, ([{weights}])[(row_number() over (order by source nulls last) - 1) % {len(params.cycle)} + 1] weight from d group by source),
+wf as (select 0 n, list({{'source': source, 'size': source_size, 'weight': weight, 'capped': false}}) l from sz
+ union all select n + 1, list_transform(l, lambda x: {{'source': x.source, 'size': x.size, 'weight': x.weight, 'capped': x.capped or x.weight * rate >= {params.max_repeat} * x.size}}) from
+ (select *, ({params.total_share} * list_sum(list_transform(l, lambda x: x.size)) - coalesce(list_sum(list_transform(list_filter(l, lambda x: x.capped), lambda x: {params.max_repeat} * x.size)), 0)) / nullif(list_sum(list_transform(list_filter(l, lambda x: not x.capped), lambda x: x.weight)), 0) rate from wf where n <= (select count(*) from sz))),
+la as (select l, ({params.total_share} * list_sum(list_transform(l, lambda x: x.size)) - coalesce(list_sum(list_transform(list_filter(l, lambda x: x.capped), lambda x: {params.max_repeat} * x.size)), 0)) / nullif(list_sum(list_transform(list_filter(l, lambda x: not x.capped), lambda x: x.weight)), 0) rate from wf order by n desc limit 1),
+tg as (select x.source source, case when x.capped then cast({params.max_repeat} * x.size as double) else x.weight * rate end target from (select unnest(l) x, rate from la)),
+dl as (select d.*, source_size, o % least(cast(ceil(n / {params.shard_docs}.0) as bigint), {params.max_shards}) shard from d join sz on d.source is not distinct from sz.source),
+sh as (select source, shard, cast(ceil(sum(size) / {params.block_words}.0) as bigint) blocks from dl group by all),
+sv as (select sz.source, target, b.blocks, case when source_size > 0 then target / source_size * b.blocks else 0.0 end vote from sz join tg on tg.source is not distinct from sz.source join (select source, sum(blocks) blocks from sh group by source) b on b.source is not distinct from sz.source),
+sq as (select source, target, least(quota, {params.max_repeat} * blocks) source_quota from {seats('(select *, round(sum(vote) over ()) seats from sv)', '', 'source')}),
+hq as (select source, shard, target, blocks, least(quota, {params.max_repeat} * blocks) quota, case when blocks > 0 then {seeded('source', 'shard')} % greatest(blocks, 1) else 0 end start from {seats('(select sh.source, shard, target, blocks, cast(blocks as double) vote, source_quota seats from sh join sq on sh.source is not distinct from sq.source)', 'source', 'shard')}),
+pl as (select *, coalesce(sum(size) over (partition by source, shard order by o, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) begin from dl),
+wd as (select r, unnest(range(cast(begin as bigint), cast(begin + size as bigint))) // {params.block_words} b, h.blocks, quota, start from pl p join hq h on p.source is not distinct from h.source and p.shard = h.shard),
+tk as (select r, sum(quota // blocks + case when (b - start + blocks) % blocks < quota % blocks then 1 else 0 end) taken from wd group by r)
+select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) taken from pl left join tk using (r) join tg on tg.source is not distinct from pl.source
+"""
+
+
+ORACLES = {"op10_mixing": mixing_sql(), "op1_licenses": licenses_sql(), "op6_decontaminate": decontaminate.ORACLE, "op7_hostrules": hosts_sql()}

@@ -16,7 +16,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, pii, quality, simhash, tokencount, tokenfile
+from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, oracles, pii, quality, simhash, tokencount, tokenfile
 from scanloom.llm.common import table, written
 from scanloom.llm.queries import ORACLES, QUERIES
 
@@ -538,6 +538,13 @@ def test_apportionment_gives_the_highest_quotients(spark):
         assert {i: got[g, i] for i in votes} == quota
 
 
+def test_mixing_over_several_shards_matches_sql(spark, documents, duck):
+    for params in (mixing.MixParams(shard_docs=15), mixing.MixParams(shard_docs=15, max_shards=2, block_words=5, seed=3), mixing.MixParams(cycle=(1.0, 9.0), total_share=1.9)):
+        ours = mixing.mixed(documents, params).select("doc_id", "size", "source_size", "target", "taken")
+        theirs = duck.execute(oracles.mixing_sql(params)).fetchall()
+        assert len(theirs) == documents.count() and Counter(map(tuple, ours.collect())) == Counter(theirs)
+
+
 def test_mix_meets_its_targets(spark, documents):
     for docs, near in ((documents, 0.02), (odd(spark), 0.05), (odd(spark).limit(0), 0)):
         rows = docs.collect()
