@@ -1,7 +1,7 @@
-"""DuckDB SQL of the operators that SQL can express.
+"""DuckDB SQL of the operators that SQL can express, each by brute force.
 
-The others' results rest on hashes, models or tokenizers that DuckDB lacks; they
-are tested against brute force.
+The others' results rest on trained models, tokenizers or a parser, which DuckDB
+lacks; they are tested against brute force.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from scanloom.llm import decontaminate
 from scanloom.llm.hostrules import RULES, HostRuleParams
 from scanloom.llm.licenses import NOTICES, LicenseParams, whole_templates
 from scanloom.llm.mixing import MixParams
+from scanloom.llm.pii import KINDS, PiiParams
+from scanloom.llm.simhash import RADIUS, SEED, SHINGLE
 
 
 def hosts_sql(params: HostRuleParams = HostRuleParams()) -> str:
@@ -100,7 +102,8 @@ def mixing_sql(params: MixParams = MixParams()) -> str:
 
     weights = ", ".join(map(str, params.cycle))
     return rf"""
-with recursive d as (select row_number() over () r, doc_id, source, {seeded('doc_id', 'source', 'text')} o, cast(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) as bigint) size from documents),
+with recursive d as (select row_number() over () r, doc_id, source, {seeded('doc_id', 'source', 'text')} o, cast(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) as bigint) size from documents),
 sz as (select source, count(*) n, cast(sum(size) as bigint) source_size, ([{weights}])[(row_number() over (order by source nulls last) - 1) % {len(params.cycle)} + 1] weight from d group by source),
 wf as (select 0 n, list({{'source': source, 'size': source_size, 'weight': weight, 'capped': false}}) l from sz
  union all select n + 1, list_transform(l, lambda x: {{'source': x.source, 'size': x.size, 'weight': x.weight, 'capped': x.capped or x.weight * rate >= {params.max_repeat} * x.size}}) from
@@ -119,4 +122,90 @@ select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) tak
 """
 
 
-ORACLES = {"op10_mixing": mixing_sql(), "op1_licenses": licenses_sql(), "op6_decontaminate": decontaminate.ORACLE, "op7_hostrules": hosts_sql()}
+#: The plain patterns of personal data, in order of ``pii.KINDS``.
+PLAIN = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def pii_sql(params: PiiParams = PiiParams()) -> str:
+    """op9: positions by running lengths, and every pair of an entity and a word counted."""
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    part = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    digit = f"cast(substr(reverse({digits}), cast(j as integer), 1) as integer)"
+    luhn = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda j: case when j % 2 = 1 then {digit} when {digit} > 4 then 2 * {digit} - 9 else 2 * {digit} end)) % 10 = 0"
+    valid = f"case kind when 0 then true when 1 then regexp_full_match(v, '{part}[.]{part}[.]{part}[.]{part}') when 2 then len({digits}) between 16 and 19 and {luhn} else len({digits}) between 8 and 15 end"
+    found = " union all ".join(f"select r, {k} kind, regexp_extract_all(t, '{p}') ms, string_split_regex(t, '{p}') ps from d" for k, p in enumerate((*PLAIN, r"\p{L}+")))
+    names = "(['" + "', '".join((*KINDS, "term")) + "'])[kind + 1]"
+    told = f"string_agg({names} || ':' || s || ':' || e, ',' order by kind, s, e)"
+    counts = ", ".join(f"cast(coalesce(n_{k}, 0) as bigint) n_{k}" for k in KINDS)
+    sums = ", ".join(f"count(*) filter (where kind = {k}) n_{name}" for k, name in enumerate(KINDS))
+    return rf"""
+with d as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+m as ({found}),
+x as (select r, kind, unnest(range(len(ms))) i, unnest(ms) v, unnest(ps[1:len(ms)]) p from m where len(ms) > 0),
+y as (select r, kind, v, cast(sum(len(p) + len(v)) over (partition by r, kind order by i) as bigint) e from x),
+b as (select r, kind, lower(v) v, e - len(v) s, e from y where kind < {len(KINDS)} and {valid}),
+w as (select r, lower(v) v, e - len(v) s, e from y where kind = {len(KINDS)} and len(v) >= {params.min_letters}),
+tm as (select distinct r, v from w),
+nt as (select v, count(*) n from tm group by v),
+en as (select distinct r, kind, v from b),
+pr as (select en.kind, en.v e, tm.v, count(*) n from en join tm using (r) group by all),
+dt as (select distinct pr.v from pr join nt using (v) where pr.n >= {params.support} and pr.n >= nt.n * {2.0 ** -params.slack!r}),
+ts as (select w.r, {len(KINDS)} kind, w.s, w.e from w join dt using (v) where not exists (select 1 from b where b.r = w.r and b.s < w.e and b.e > w.s)),
+al as (select r, kind, s, e from b union all select * from ts),
+o as (select r, {sums}, count(*) filter (where kind = {len(KINDS)}) n_terms, {told} spans, {told} filter (where kind < {len(KINDS)}) base from al group by r)
+select doc_id, {counts}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, cast(coalesce(n_terms, 0) as bigint) n_terms from d left join o using (r)
+"""
+
+
+def simhash_sql() -> str:
+    """op4: XXH64 in 128-bit whole numbers, a lane at a time for all shingles; every pair of fingerprints; sets by reachability."""
+    low64, p1, p2, p3, p4, p5 = f"{(1 << 64) - 1}::uhugeint", *(f"{p}::uhugeint" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+    def mul(a: str, b: str) -> str:
+        return f"((({a}) * {b}) & {low64})"
+
+    def rot(a: str, k: int) -> str:
+        return f"({mul(a, f'{1 << k}::uhugeint')} + (({a}) >> {64 - k}))"
+
+    def added(*terms: str) -> str:
+        return f"(({' + '.join(terms)}) & {low64})"
+
+    def turned(acc: str, lane: str) -> str:
+        return mul(rot(added(acc, mul(lane, p2)), 31), p1)
+
+    def lane(at: str, size: int) -> str:
+        parts = " || ".join(f"substr(x, cast(2 * ({at}) + {2 * k + 1} as integer), 2)" for k in reversed(range(size)))
+        return f"cast(cast('0x' || {parts} as ubigint) as uhugeint)"
+
+    seed = SEED
+    stripes = ", ".join(f"list_reduce(list_transform(range(n // 32), lambda j: {lane(f'32 * j + {8 * k}', 8)}), lambda a, l: {turned('a', 'l')}, {start}::uhugeint) v{k}" for k, start in enumerate(((seed + 11400714785074694791 + 14029467366897019727) % (1 << 64), (seed + 14029467366897019727) % (1 << 64), seed, (seed - 11400714785074694791) % (1 << 64))))
+    merged = added(*(rot(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))))
+    steps = "".join(f"a{k + 1} as (select * exclude acc, case when n < 32 then acc else {added(mul(f'xor(acc, {turned("0::uhugeint", f"v{k}")})', p1), p4)} end acc from a{k}),\n" for k in range(4))
+    eight = added(mul(rot(f"xor(a, {turned('0::uhugeint', 'l')})", 27), p1), p4)
+    four = added(mul(rot(f"xor(acc, {mul(lane('n // 8 * 8', 4), p1)})", 23), p2), p3)
+    single = mul(rot(f"xor(a, {mul('l', p5)})", 11), p1)
+    bits = " + ".join(f"case when 2 * sum((h >> {b}) & 1) > count(*) then {1 << b}::uhugeint else 0::uhugeint end" for b in range(64))
+    return rf"""
+with recursive d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+sh as (select r, array_to_string(w[p : p + {SHINGLE - 1}], ' ') s from (select r, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) p from d where len(w) > 0)),
+ds as (select s, hex(encode(s)) x, octet_length(encode(s)) n from (select distinct s from sh)),
+st as (select s, x, n, {stripes} from ds),
+a0 as (select *, {added(f"case when n < 32 then {(seed + 2870177450012600261) % (1 << 64)}::uhugeint else {merged} end", "0::uhugeint")} acc from st),
+{steps}b0 as (select s, x, n, {added('acc', 'n::uhugeint')} acc from a4),
+b1 as (select s, x, n, list_reduce(list_transform(range(n // 32 * 4, n // 8), lambda j: {lane('8 * j', 8)}), lambda a, l: {eight}, acc) acc from b0),
+b2 as (select s, x, n, case when n % 8 >= 4 then {four} else acc end acc from b1),
+b3 as (select s, list_reduce(list_transform(range(n // 4 * 4, n), lambda j: {lane('j', 1)}), lambda a, l: {single}, acc) acc from b2),
+c1 as (select s, {mul(f'xor(acc, acc >> 33)', p2)} acc from b3),
+c2 as (select s, {mul(f'xor(acc, acc >> 29)', p3)} acc from c1),
+hs as (select s, xor(acc, acc >> 32)::ubigint h from c2),
+fp as (select r, {bits} f from sh join hs using (s) group by r),
+fd as (select doc_id, coalesce(f, 0::uhugeint) f from d left join fp using (r)),
+nd as (select f, min(doc_id) m from fd group by f),
+lk as (select a.f a, b.f b from nd a join nd b on bit_count(xor(a.f, b.f)::hugeint) <= {RADIUS}),
+rc as (select f a, f b from nd union select rc.a, lk.b from rc join lk on lk.a = rc.b),
+co as (select a f, min(m) component_id from rc join nd on nd.f = rc.b group by a)
+select doc_id, lower(lpad(hex(f::ubigint), 16, '0')) fingerprint, component_id from fd join co using (f)
+"""
+
+
+ORACLES = {"op4_simhash": simhash_sql(), "op9_pii": pii_sql(), "op10_mixing": mixing_sql(), "op1_licenses": licenses_sql(), "op6_decontaminate": decontaminate.ORACLE, "op7_hostrules": hosts_sql()}
