@@ -3,8 +3,8 @@
 A pre-token is a run of anything but ASCII white space, with a word mark before
 it. Its tokens are the pieces of the best-scoring segmentation (of equal ones,
 that of fewest pieces). The best score of a prefix depends on the prefix alone,
-so the distinct pre-tokens are walked as a trie, in sorted order: what a
-pre-token shares with the one before it is not computed again, and each
+so the distinct pre-tokens are inserted in a trie, which a worker keeps from
+batch to batch: a prefix that pre-tokens share is computed once, and each
 terminal's count is stored and looked up for every mention.
 
 Pieces come from a public sentencepiece vocabulary, which gives their ranks; a
@@ -28,6 +28,8 @@ from scanloom.llm.common import worker_cache
 MARK = "▁"
 #: Distinct pre-tokens whose counts a worker remembers.
 REMEMBERED = 1_500_000
+#: Nodes of a worker's trie, beyond which it starts anew.
+NODES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -56,37 +58,51 @@ def load_model(path: str) -> UnigramModel:
     return UnigramModel.of([p.id_to_piece(k) for k in range(p.get_piece_size()) if not (p.is_control(k) or p.is_unknown(k) or p.is_byte(k))])
 
 
-def terminal_counts(words: list[str], model: UnigramModel) -> dict[str, int]:
-    """The number of tokens of each distinct pre-token (without its mark)."""
-    scores, ends, unknown = model.scores, model.ends, model.unknown
-    counts: dict[str, int] = {}
-    best, number = [0.0], [0]
-    path = ""
-    for word in sorted(set(words)):
-        text = MARK + word
-        shared, most = 0, min(len(path), len(text))
-        while shared < most and path[shared] == text[shared]:
-            shared += 1
-        del best[shared + 1 :], number[shared + 1 :]
-        for i in range(shared + 1, len(text) + 1):
-            char = text[i - 1]
-            size = 1 if char in scores else len(char.encode("utf-8", "surrogatepass"))
-            top = best[i - 1] + (scores[char] if char in scores else unknown * size)
-            n = number[i - 1] + size
-            for j in range(i - 2, -1, -1):
-                piece = text[j:i]
-                if piece not in ends:
-                    break
-                score = scores.get(piece)
-                if score is not None:
-                    score += best[j]
-                    if score > top or score == top and number[j] + 1 < n:
-                        top, n = score, number[j] + 1
-            best.append(top)
-            number.append(n)
-        path = text
-        counts[word] = number[-1]
-    return counts
+class Trie:
+    """Pre-tokens by their characters: each node holds the best score of its prefix and that segmentation's number of tokens.
+
+    A prefix is computed when its node is made and never again, until the trie
+    starts anew at ``NODES``; a terminal's number is the count of its pre-token.
+    """
+
+    def __init__(self, model: UnigramModel):
+        self.model = model
+        self.children: dict[int, int] = {}
+        self.best, self.number = [0.0], [0]
+
+    def count(self, word: str) -> int:
+        """The number of tokens of a pre-token (without its mark)."""
+        if len(self.best) > NODES:
+            self.children, self.best, self.number = {}, [0.0], [0]
+        scores, ends, unknown, children = self.model.scores, self.model.ends, self.model.unknown, self.children
+        text, node, path = MARK + word, 0, [0]
+        for i, char in enumerate(text, 1):
+            key = node << 21 | ord(char)
+            node = children.get(key, -1)
+            if node < 0:
+                size = 1 if char in scores else len(char.encode("utf-8", "surrogatepass"))
+                top = self.best[path[-1]] + (scores[char] if char in scores else unknown * size)
+                n = self.number[path[-1]] + size
+                for j in range(i - 2, -1, -1):
+                    piece = text[j:i]
+                    if piece not in ends:
+                        break
+                    score = scores.get(piece)
+                    if score is not None:
+                        score += self.best[path[j]]
+                        if score > top or score == top and self.number[path[j]] + 1 < n:
+                            top, n = score, self.number[path[j]] + 1
+                node = children[key] = len(self.best)
+                self.best.append(top)
+                self.number.append(n)
+            path.append(node)
+        return self.number[node]
+
+
+def terminal_counts(words: list[str], model: UnigramModel, trie: Trie | None = None) -> dict[str, int]:
+    """The number of tokens of each distinct pre-token (without its mark), by a trie."""
+    trie = Trie(model) if trie is None else trie
+    return {word: trie.count(word) for word in set(words)}
 
 
 def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
@@ -97,14 +113,15 @@ def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = load_model(vocabulary), worker_cache(("token counts", vocabulary), dict)
+        model = load_model(vocabulary)
+        known, trie = worker_cache(("token counts", vocabulary), lambda: ({}, Trie(model)))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 words = [(t.as_py() or "").encode("utf-8", "surrogatepass").split() for t in part["text"]]
                 new = set().union(*words).difference(known)
                 named = {w: w.decode("utf-8", "surrogatepass") for w in new}
-                made = terminal_counts(list(named.values()), model)
+                made = terminal_counts(list(named.values()), model, trie)
                 fresh = {w: made[name] for w, name in named.items()}
                 if len(known) + len(fresh) <= REMEMBERED:
                     known.update(fresh)
