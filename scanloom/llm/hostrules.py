@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from scanloom.llm.common import written
 
 WINDOW = 5
+#: Tasks that the documents of one host are dealt to where verdicts join them.
+SALTS = 16
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: What a rule's failure is called, in the order of the host's rates.
@@ -123,5 +125,8 @@ def host_verdicts(documents: DataFrame, host: str = "source", params: HostRulePa
     )
     failures = written(failures, "hostrules-measures")
     rates = written(host_rates(failures, params), "hostrules-rates").select(F.col("host").alias("of_host"), "host_ok")
-    joined = failures.join(rates, F.col("host").eqNullSafe(F.col("of_host")), "left")
+    # Hosts are few beside documents: each stands under every salt, so a host of a third of all rows meets its verdict in many tasks.
+    rates = rates.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = failures.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(rates, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("salt") == F.col("of_salt")), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "symbols_failed", "lines_failed")
