@@ -14,9 +14,10 @@ DataFrame functions.
 
 Most text never meets a template, and none is lost by that. The squared weights
 of a template's words that stand in a text sum to the square of their cosine or
-more. And a text's product with a template, over the least length that its
-number of words and of distinct words allow, is their cosine or more. Both
-bounds are taken within each row; what stays below the threshold goes.
+more. And a text's products with all templates at once, over the least length
+that its number of words and of distinct words allow, are every cosine or more.
+Both bounds, then the cosines themselves (but for words that share a slot), are
+taken within each row; what stays below the threshold goes.
 """
 
 from __future__ import annotations
@@ -99,8 +100,11 @@ PARAGRAPH_END = r"(?<=[.!?])\s+|\n[ \t\r]*\n\s*"
 #: What a comment line begins with, and how comments of several lines open and close (as regex) and close (as it stands).
 LINE_MARK = r"(?dm)^[ \t]*+(?:#++!?|//++[/!]*+|/\*++|\*++/?|--++|;++|%++|<!--++|(?i:rem|dnl)\b)"
 LONG_COMMENTS = ((r"/\*", "*/"), ("<!--", "-->"), ('"{3}', None), ("'{3}", None))
-#: Slots that words share in sums of squared weights.
-SLOTS = 1 << 12
+#: Templates that share a bound, where all have ``MANY`` words or more.
+TOGETHER = 4
+MANY = 512
+#: Tasks that the copies of one text are dealt to.
+SALTS = 32
 FILE_NAME = r"(?i)^(?:un)?licen[cs]e|^copying|^copyright|^notice"
 
 
@@ -144,37 +148,46 @@ def bounds(spark: SparkSession, named: tuple[tuple[str, str], ...], params: Lice
     """A filter of rows by their column ``text``: those that hold enough of a template to be close to it, or to have a part that is (``parts``, a condition).
 
     Words that share a slot count as the heavier of them, and as the more
-    frequent one in lengths, so no bound is too low.
+    frequent one in lengths; so do ``TOGETHER`` neighbouring templates (of
+    many words), which are much alike. No bound is too low by that, and the tables stay small.
     """
-    n, weights = len(named), vectors(named)
-    rarest = log(1.0 + n) + 1
-    vocabulary = spark.createDataFrame([(t,) for t in sorted({term for _, _, term, _, _ in weights})], "word string")
-    slot = {r.word: r.slot for r in vocabulary.select("word", F.expr(f"hash(word) & {SLOTS - 1}").alias("slot")).collect()}  # words of the templates
-    squares, products, idfs = [0.0] * (SLOTS * n), [0.0] * (SLOTS * n), [rarest] * SLOTS
+    weights = vectors(named)
+    words = sorted({term for _, _, term, _, _ in weights})
+    together = 1 if len(words) < MANY else TOGETHER
+    n, size = -(-len(named) // together), 1 << (2 * len(words)).bit_length()
+    rarest = log(1.0 + len(named)) + 1
+    vocabulary = spark.createDataFrame([(t,) for t in words], "word string")
+    slot = {r.word: r.slot for r in vocabulary.select("word", F.expr(f"hash(word) & {size - 1}").alias("slot")).collect()}  # words of the templates
+    squares, products, idfs = [0.0] * (size * n), [0.0] * (size * n), [rarest] * size
     for k, _, term, weight, idf in weights:
         s = slot[term]
-        squares[s * n + k] = max(squares[s * n + k], weight * weight)
-        products[s * n + k] = max(products[s * n + k], weight * idf)
+        at = s * n + k // together
+        squares[at] = max(squares[at], weight * weight)
+        products[at] = max(products[at], weight * idf)
         idfs[s] = min(idfs[s], idf)
 
     def listed(numbers: list[float]) -> Column:
         return F.split(F.lit(",".join(f"{x:.6g}" for x in numbers)), ",").cast("array<float>")
 
-    given = {"__known": bitmap(vocabulary), "__squares": listed(squares), "__products": listed(products), "__idfs": listed(idfs), "__most": listed([max(products[s * n : (s + 1) * n]) for s in range(SLOTS)])}
+    given = {"__known": bitmap(vocabulary), "__squares": listed(squares), "__products": listed(products), "__idfs": listed(idfs), "__most": listed([max(products[s * n : (s + 1) * n]) for s in range(size)])}
 
     def named_once(name: str, value: str, condition: str) -> str:
         return f"exists(array({value}), {name} -> {condition})"  # the optimizer would compute a column for each of its uses
 
     def slots(terms: str) -> str:
-        return f"transform(filter({terms}, t -> {in_bitmap('t', '__known')}), t -> hash(t) & {SLOTS - 1})"
+        return f"transform(filter({terms}, t -> {in_bitmap('t', '__known')}), t -> hash(t) & {size - 1})"
 
     def sums(slots: str, start: str, table: str) -> str:
         return f"aggregate({slots}, array_repeat(cast({start} as float), {n}), (sums, s) -> transform(sums, (x, k) -> cast(x + get({table}, s * {n} + k) as float)))"
 
     covered = f"exists({sums(slots('array_distinct(terms)'), '0', '__squares')}, x -> x >= {params.threshold ** 2 - 1e-3})"
-    length = f"{params.threshold - 1e-3} * aggregate(slots, cast({rarest} * size(terms) as double), (sum, s) -> sum + get(__idfs, s) - {rarest}) / sqrt(size(array_distinct(terms)))"
-    any_near = "aggregate(slots, cast(0 as double), (sum, s) -> sum + get(__most, s)) >= length"  # the same bound for all templates at once
-    near = named_once("slots", slots("terms"), named_once("length", length, f"{any_near} and exists({sums('slots', '-length', '__products')}, x -> x >= 0)"))
+    least = f"{params.threshold - 1e-3} * aggregate(slots, cast({rarest} * size(terms) as double), (sum, s) -> sum + get(__idfs, s) - {rarest}) / sqrt(size(array_distinct(terms)))"
+    any_near = f"aggregate(slots, cast(0 as double), (sum, s) -> sum + get(__most, s)) >= {least}"  # for all templates at once, by the least length
+    # The length itself, by runs of equal words in sorted order; the last run ends at a null.
+    squared = "r.sum + pow(r.n * r.idf, 2)"
+    idf = f"if({in_bitmap('t', '__known')}, cast(get(__idfs, hash(t) & {size - 1}) as double), cast({rarest} as double))"
+    runs = "aggregate(sort_array(transform(terms, t -> struct(xxhash64(t) as h, " + idf + " as idf))), struct(cast(null as bigint) as h, 0 as n, cast(0 as double) as idf, cast(0 as double) as sum), (r, w) -> if(r.h = w.h, struct(r.h as h, r.n + 1 as n, r.idf as idf, r.sum as sum), struct(w.h as h, 1 as n, w.idf as idf, " + squared + " as sum)), r -> sqrt(" + squared + "))"
+    near = named_once("slots", slots("terms"), f"{any_near} and " + named_once("length", f"{params.threshold - 1e-3} * {runs}", f"exists({sums('slots', '-length', '__products')}, x -> x >= 0)"))
     enough = named_once("terms", f"regexp_extract_all(lower(text), r'{WORDS}', 0)", f"size(terms) > 0 and (__parts or {near}) and {covered}")
 
     def close(rows: DataFrame, parts: Column) -> DataFrame:
@@ -266,7 +279,10 @@ def license_scan(files: DataFrame, path: Column, params: LicenseParams = License
     per_row = found.groupBy("row").agg(F.min(F.struct("short", (-F.col("score")).alias("neg"), F.col("license").alias("license"))).alias("b"), F.greatest(*words).alias("found_words"))
     own = per_row.join(texts[0].union(texts[1]).select("row", "all_words").distinct(), "row").select(F.col("row").alias("of"), F.col("b.license").alias("own"), (-F.col("b.neg")).alias("own_score"), "found_words", "all_words")
     name = F.regexp_extract("path", "[^/]*$", 0)
-    scanned = listed.select("key", "path", "dir", "row").join(own, F.col("row") == F.col("of"), "left").withColumn("is_file", F.col("own").isNotNull() & (name.rlike(FILE_NAME) | (F.col("found_words") >= params.file_share * F.col("all_words"))))
+    # One text may be that of a third of the files: its finds are dealt to as many tasks as there are salts.
+    own = own.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = listed.select("key", "path", "dir", "row", F.pmod(F.xxhash64("key", "path"), F.lit(SALTS)).cast("int").alias("salt"))
+    scanned = salted.join(own, (F.col("row") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left").withColumn("is_file", F.col("own").isNotNull() & (name.rlike(FILE_NAME) | (F.col("found_words") >= params.file_share * F.col("all_words"))))
     scanned = written(scanned.select("key", "path", "dir", "own", "own_score", "is_file"), "licenses-own")
     licensed = scanned.where("is_file").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("neg"), F.col("own").alias("license"))).alias("b")).select(F.col("dir").alias("licensed_by"), F.col("b.license").alias("given"), (-F.col("b.neg")).alias("given_score"))
     above = scanned.select("dir").distinct().select("dir", F.posexplode(parents(F.col("dir"))).alias("up", "licensed_by"))
