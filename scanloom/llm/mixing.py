@@ -163,12 +163,21 @@ def mixed_documents(documents: DataFrame, params: MixParams = MixParams()) -> Da
     runs = [(F.col("first"), F.least(last, F.col("blocks"))), (F.lit(0), F.greatest(last - F.col("blocks"), F.lit(0)))]
     ranges = [F.struct((F.greatest(a * size, F.col("begin")) - F.col("begin")).cast("long").alias("a"), (F.least(b * size, F.col("begin") + F.col("size")) - F.col("begin")).cast("long").alias("b")) for a, b in runs]
     whole = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1))).cast("int")
-    again = Window.partitionBy("of", "order").orderBy("begin")
-    plan = sources.where("taken > 0").select(F.col("doc_id").alias("of"), F.col("order").alias("order"), "begin", "size", whole.alias("whole"), F.array(*ranges).alias("ranges"))
-    plan = plan.select(F.col("of").alias("__of"), F.col("order").alias("__of_order"), F.row_number().over(again).alias("__of_nth"), F.struct("size", "whole", "ranges").alias("__plan"))
+    alike = Window.partitionBy("of", "order")
+    plan = sources.select(F.col("doc_id").alias("of"), F.col("order").alias("order"), "begin", "size", "taken", whole.alias("whole"), F.array(*ranges).alias("ranges"))
+    plan = plan.withColumns({"n": F.count("*").over(alike), "nth": F.row_number().over(alike.orderBy((F.col("taken") == 0), "begin"))}).where("taken > 0")
+    plan = plan.select(F.col("of").alias("__of"), F.col("order").alias("__of_order"), F.col("nth").alias("__of_nth"), (F.col("n") > 1).alias("__again"), F.struct("size", "whole", "ranges").alias("__plan"))
     plan = written(plan, "mixing-plan")
-    keyed = documents.withColumn("__order", seeded(params.seed, F.col("doc_id"), F.col("source"), F.col("text"))).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__order").orderBy(F.lit(0))))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__order") == F.col("__of_order")) & (F.col("__nth") == F.col("__of_nth")))
+    keyed = documents.withColumn("__order", seeded(params.seed, F.col("doc_id"), F.col("source"), F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__order") == F.col("__of_order"))
+    # Texts move once; rows alike in id, source and text are numbered to tell their places apart, and move again.
+    joined = keyed.join(plan.where("not __again"), same).select(*documents.columns, "__plan")
+    again = plan.where("__again")
+    if not again.isEmpty():
+        doubled = again.select(F.col("__of").alias("__is"), F.col("__of_order").alias("__is_order")).distinct()
+        some = keyed.join(doubled, F.col("doc_id").eqNullSafe(F.col("__is")) & (F.col("__order") == F.col("__is_order")), "left_semi")
+        some = some.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__order").orderBy(F.lit(0))))
+        joined = joined.unionByName(some.join(again, same & (F.col("__nth") == F.col("__of_nth"))).select(*documents.columns, "__plan"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,4 +194,4 @@ def mixed_documents(documents: DataFrame, params: MixParams = MixParams()) -> Da
                 out = out.set_column(at, "n_chars", pa.array([len(t) for t in texts]).cast(out.schema.field(at).type))
             yield out
 
-    return joined.select(*documents.columns, "__plan").mapInArrow(rows, documents.schema)
+    return joined.mapInArrow(rows, documents.schema)

@@ -268,8 +268,14 @@ def near_duplicates(documents: DataFrame, cap: int = CAP) -> DataFrame:
 def deduplicated(documents: DataFrame, cap: int = CAP) -> DataFrame:
     """The documents, all columns, one of each set: that of the smallest doc_id, then the least fingerprint and text hash."""
     # A null id sorts last here, so it stands only for sets without another.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("m")
-    kept = written(components(documents, cap).groupBy("root").agg(first).select(F.col("m.doc_id").alias("__kept_id"), F.col("m.row").alias("__kept_row")), "simhash-kept")
+    alike = components(documents, cap).groupBy("root", "doc_id", "fp", "row").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row", "n")).alias("m")
+    kept = alike.groupBy("root").agg(first).select(F.col("m.doc_id").alias("__kept_id"), F.col("m.row").alias("__kept_row"), (F.col("m.n") > 1).alias("__again"))
+    kept = written(kept, "simhash-kept")
     keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__row") == F.col("__kept_row")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__row"]).drop("__row")
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__row") == F.col("__kept_row")))
+    # Texts move once; only those of rows that are there more than once move again.
+    out = joined.where("not __again").select(*documents.columns)
+    if kept.where("__again").isEmpty():
+        return out
+    return out.unionByName(joined.where("__again").dropDuplicates(["doc_id", "__row"]).select(*documents.columns))
