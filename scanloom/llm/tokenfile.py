@@ -141,12 +141,12 @@ class _Encoder:
         self.end = np.array([vocabulary.end_id], self.dtype).tobytes()
         self.levels: list[np.ndarray] = []
         self.pool, self.letters = _Pool(self.dtype), _Pool(np.uint8)
-        definition = json.loads(self.tokenizer.to_str())
-        steps = definition["normalizer"] or {}
+        normalizer = self.tokenizer.normalizer
+        steps = json.loads(normalizer.__getstate__()) if normalizer else {}  # its part of the definition alone
         steps = [n["type"] for n in steps.get("normalizers", [steps]) if n]
         self.lowers = "Lowercase" in steps and set(steps) <= {"NFC", "Replace", "Lowercase"}
         self.lowers = self.lowers and all(self._ids(c) == self._ids(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        self.added = [t["content"].lower().encode() for t in definition["added_tokens"]]
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bar = self._ids("|")
         self.lean, self.ends = self._lean()
         self.bounds = all(self._ids(a + m + m) == self._ids(a) + self._ids(m + m) for a in ("the", "thx", "9") for m in MARKS.decode())
