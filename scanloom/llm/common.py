@@ -15,8 +15,9 @@ LOCAL_SHARED_DIR = "/tmp/checkpoints/scanloom"
 BITMAP_LONGS = 1 << 14
 
 
-#: Rows of a batch that goes to Python: texts stand in it whole, so it holds few of them.
+#: Rows of a batch that goes to Python, and its bytes unless one row has more: texts stand in it whole, so it holds few of them.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 _KEPT: dict[Any, Any] = {}
 
@@ -30,8 +31,12 @@ def worker_cache(name: Any, make: Callable[[], Any]) -> Any:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to ``BATCH_ROWS``, which bounds what the JVM and a worker keep outside the heap."""
+    """Hold the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``, which bounds what the JVM and a worker keep outside the heap.
+
+    The settings stay, as a lazy result is computed when its caller asks for it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_SHARED_DIR
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
