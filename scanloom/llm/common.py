@@ -18,6 +18,8 @@ BITMAP_LONGS = 1 << 14
 #: Rows of a batch that goes to Python, and its bytes unless one row has more: texts stand in it whole, so it holds few of them.
 BATCH_ROWS = 1000
 BATCH_BYTES = 4 << 20
+#: A key on more than one in this many rows is joined by broadcast.
+HOT_SHARES = 1000
 
 _KEPT: dict[Any, Any] = {}
 
@@ -74,6 +76,19 @@ def removed(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def joined(rows: DataFrame, facts: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``: one row per key, and in ``__n`` (dropped) the number of ``rows`` that bear it.
+
+    Keys on more than one in ``HOT_SHARES`` of ``total`` rows are broadcast, and
+    their rows stay where they are; only rows of other keys are shuffled. With
+    ``total`` rows or fewer, fewer than ``HOT_SHARES`` keys are broadcast. Keys
+    are not null. ``how`` may be "left" for rows whose key has no fact.
+    """
+    hot = F.col("__n") * HOT_SHARES > total
+    few, many = F.broadcast(facts.where(hot).drop("__n")), facts.where(~hot).drop("__n")
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(many, on, how))
+
+
 def bitmap(words: DataFrame) -> Column:
     """A foldable array of longs with the bit of each distinct ``word`` set, to ask with ``in_bitmap``."""
     slots = words.select(F.expr(f"shiftright(hash(word), 6) & {BITMAP_LONGS - 1}").alias("slot"), F.expr("hash(word) & 63").alias("bit")).distinct()

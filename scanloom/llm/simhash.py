@@ -13,7 +13,9 @@ Buckets over ``CAP`` members are dealt anew before any task holds them: by
 three of six further blocks, and what is still over ``CAP`` as pairs of chunks,
 each a task of its own. Every pair within the radius is met in one of them, so
 the result is exact at every size. Connected sets come from alternating star
-contractions, each round written to the shared folder.
+contractions, each round written to the shared folder. Keys that many rows
+share (a centre, a set, a fingerprint, a bucket, a repeated row) are joined by
+``common.joined``, which leaves their rows where they are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from scanloom.llm.common import worker_cache, written
+from scanloom.llm.common import HOT_SHARES, joined, worker_cache, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -201,16 +203,18 @@ def _masks(masks: list[int]):
 def links(nodes: DataFrame, cap: int = CAP) -> DataFrame:
     """Links (u > v) that connect all distinct fingerprints ``fp`` within the radius, and no others."""
     keyed = nodes.select("fp", F.posexplode(_masks(TABLES)).alias("t", "mask")).select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    big = written(keyed.groupBy("t", "key").count().where(F.col("count") > cap).select("t", "key"), "simhash-big")
+    big = written(keyed.groupBy("t", "key").agg(F.count("*").alias("__n")).where(F.col("__n") > cap).withColumn("big", F.lit(True)), "simhash-big")
     plain = keyed
     parts = []
-    if not big.isEmpty():
-        plain = keyed.join(big, ["t", "key"], "left_anti")
-        hot = keyed.join(big, ["t", "key"], "left_semi")
+    members = big.agg(F.sum("__n")).first()[0]
+    if members:
+        sorted_out = joined(keyed, big, ["t", "key"], members, "left")
+        plain = sorted_out.where("big is null").drop("big")
+        hot = sorted_out.where("big").drop("big")
         masks = F.array(*(_masks(m) for m in FINER))
         finer = hot.select("fp", "t", F.posexplode(F.get(masks, F.col("t"))).alias("s", "mask")).select("fp", "t", "s", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        sizes = finer.groupBy("t", "s", "key").count().where(F.col("count") > cap).select("t", "s", "key", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
-        dealt = finer.join(sizes, ["t", "s", "key"], "left")
+        sizes = finer.groupBy("t", "s", "key").agg(F.count("*").alias("__n")).where(F.col("__n") > cap).withColumn("chunks", F.ceil(F.col("__n") / cap).cast("int"))
+        dealt = joined(written(finer, "simhash-finer"), written(sizes, "simhash-sizes"), ["t", "s", "key"], members * len(FINER[0]), "left")
         parts.append(dealt.where(F.col("chunks").isNull()).select(F.xxhash64(F.lit(1), "t", "s", "key").alias("g"), "fp"))
         chunk = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("chunks")).cast("int")
         pairs = dealt.where(F.col("chunks").isNotNull()).select("fp", "t", "s", "key", chunk.alias("c"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
@@ -232,10 +236,11 @@ def contracted(edges: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n")).withColumn("m", F.least("u", "m"))
+        large = joined(both, least, ["u"], 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "simhash-large")  # at most one row per link
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+        small = joined(large, least, ["u"], before[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "simhash-links")
         after = mark(edges)
         if after == before:
@@ -247,12 +252,13 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(documents: DataFrame, cap: int = CAP) -> DataFrame:
     """One row per document: doc_id, row, fp, component_id and root (the least fingerprint of its set)."""
     fps = written(fingerprints(documents), "simhash-fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "simhash-nodes")
     stars = contracted(links(nodes, cap))
-    rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = written(rooted.join(smallest, "root").select("fp", "component_id", "root"), "simhash-named")
-    return fps.join(named, "fp", "left").select("doc_id", "row", "fp", "component_id", "root")
+    rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", "copies", F.coalesce("v", "fp").alias("root"))
+    rooted = written(rooted, "simhash-rooted")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("__n"))
+    named = joined(rooted, smallest, ["root"], rooted.count()).select("fp", "component_id", "root", F.col("copies").alias("__n"))
+    return joined(fps, written(named, "simhash-named"), ["fp"], fps.count()).select("doc_id", "row", "fp", "component_id", "root")
 
 
 def near_duplicates(documents: DataFrame, cap: int = CAP) -> DataFrame:
@@ -270,12 +276,20 @@ def deduplicated(documents: DataFrame, cap: int = CAP) -> DataFrame:
     # A null id sorts last here, so it stands only for sets without another.
     alike = components(documents, cap).groupBy("root", "doc_id", "fp", "row").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row", "n")).alias("m")
-    kept = alike.groupBy("root").agg(first).select(F.col("m.doc_id").alias("__kept_id"), F.col("m.row").alias("__kept_row"), (F.col("m.n") > 1).alias("__again"))
+    kept = alike.groupBy("root").agg(first, F.sum("n").alias("__rows")).select(F.col("m.doc_id").alias("__kept_id"), F.col("m.row").alias("__kept_row"), F.col("m.n").alias("__n"), "__rows")
     kept = written(kept, "simhash-kept")
     keyed = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__row") == F.col("__kept_row")))
+    on = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__row") == F.col("__kept_row"))
+    rows, again = kept.agg(F.sum("__rows"), F.max("__n")).first()
     # Texts move once; only those of rows that are there more than once move again.
-    out = joined.where("not __again").select(*documents.columns)
-    if kept.where("__again").isEmpty():
+    hot = F.col("__n") * HOT_SHARES > F.greatest(F.lit(rows), F.lit(HOT_SHARES))
+    few = F.broadcast(kept.where(hot))  # fewer than HOT_SHARES, as rows of each number more than that part of all
+    often = (again or 0) * HOT_SHARES > max(rows or 0, HOT_SHARES)
+    moved = (keyed.join(few, on, "left_anti") if often else keyed).join(kept.where(~hot) if often else kept, on)
+    out = moved.where("__n = 1").select(*documents.columns)
+    if (again or 0) < 2:
         return out
-    return out.unionByName(joined.where("__again").dropDuplicates(["doc_id", "__row"]).select(*documents.columns))
+    repeats = moved.where("__n > 1")
+    if often:
+        repeats = repeats.unionByName(keyed.join(few, on))
+    return out.unionByName(repeats.dropDuplicates(["doc_id", "__row"]).select(*documents.columns))

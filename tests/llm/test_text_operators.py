@@ -16,7 +16,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from scanloom.llm import decontaminate, hostrules, htmltext, licenses, mixing, oracles, pii, quality, simhash, tokencount, tokenfile
+from scanloom.llm import common, decontaminate, hostrules, htmltext, licenses, mixing, oracles, pii, quality, simhash, tokencount, tokenfile
 from scanloom.llm.common import table, written
 from scanloom.llm.queries import ORACLES, QUERIES
 
@@ -233,8 +233,26 @@ def test_near_duplicates_match_brute_force(spark, documents):
         assert simhash.deduplicated(docs).columns == docs.columns
 
 
-@pytest.mark.parametrize("cap", [4096, 8])
-def test_links_find_all_sets(spark, cap):
+@pytest.mark.parametrize("shares", [1, 4])
+def test_keys_on_a_third_of_the_rows(spark, monkeypatch, shares):
+    for module in (common, simhash):
+        monkeypatch.setattr(module, "HOT_SHARES", shares)
+    texts = {k: f"text number {k} of its own kind {k * k} {k % 7}" for k in range(30)}
+    rows = [(100, texts[0], "hot")] * 30 + [(k, texts[1], "copy") for k in range(200, 230)] + [(None, texts[2], "no id")] * 2 + [(k, texts[k], "alone") for k in range(3, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, u string")
+    sets = sets_of([fingerprint(r[1]) for r in rows])
+    expected = Counter((r[0], min((x[0] for x, t in zip(rows, sets) if t == s and x[0] is not None), default=None)) for r, s in zip(rows, sets))
+    assert rows_of(simhash.near_duplicates(docs), "doc_id", "component_id") == expected
+    kept = simhash.deduplicated(docs).collect()
+    assert len(kept) == len(set(sets)) and {r.doc_id for r in kept} == {c for _, c in expected}
+    facts = docs.where("doc_id is not null and u <> 'alone'").groupBy("doc_id").agg(F.count("*").alias("__n"), F.max("u").alias("fact"))
+    got = common.joined(docs.where("doc_id is not null"), facts, ["doc_id"], len(rows), "left")
+    assert rows_of(got, "doc_id", "fact") == Counter((r[0], None if r[2] == "alone" else r[2]) for r in rows if r[0] is not None)
+
+
+@pytest.mark.parametrize("cap, shares", [(4096, 1000), (8, 1000), (8, 4)])
+def test_links_find_all_sets(spark, monkeypatch, cap, shares):
+    monkeypatch.setattr(common, "HOT_SHARES", shares)
     rng = random.Random(3)
     values = set()
     for _ in range(12):
