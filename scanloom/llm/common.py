@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ BITMAP_LONGS = 1 << 14
 
 #: Rows of a batch that goes to Python, and its bytes unless one row has more: texts stand in it whole, so it holds few of them.
 BATCH_ROWS = 1000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: A key on more than one in this many rows is joined by broadcast.
 HOT_SHARES = 1000
 
@@ -28,10 +30,20 @@ def worker_cache(name: Any, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task for one operator; another operator's is dropped first."""
     if name not in _KEPT:
         _KEPT.clear()
+        freed()
         _KEPT[name] = make()
+        freed()
     return _KEPT[name]
 
 
+def freed() -> None:
+    """Give the system back what this process has freed, which allocators keep otherwise: idle workers and the JVM share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim:
+        trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hold the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``, which bounds what the JVM and a worker keep outside the heap.
 

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import removed, shared_path, worker_cache
+from scanloom.llm.common import freed, removed, shared_path, worker_cache
 
 #: Ids of a block, at least, unless it is a shard's last; a document is never cut.
 BLOCK_IDS = 1 << 18
-#: Ids that a worker keeps of known pieces; it starts anew beyond that.
-REMEMBERED = 16_000_000
+#: Bytes that a worker keeps of known pieces, their ids and places; it starts anew beyond that.
+REMEMBERED = 32 << 20
 #: Marks that part from a letter or digit before them (an apostrophe needn't).
 MARKS = b".,;:!?*#%&$"
 #: Documents that are encoded together.
@@ -42,7 +42,7 @@ TOGETHER = 256
 #: Characters of a text that part rows of one id.
 TIE = 32
 #: Bytes of text that are looked at together.
-BUFFER = 1 << 20
+BUFFER = 1 << 18
 GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Lengths of the four ids of each control byte.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
@@ -111,7 +111,7 @@ def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     space = _SPACE[buffer]
     before = np.concatenate([[True], space[:-1]])
     starts, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-    up, down = _powers(1 << max(21, (len(raw) - 1).bit_length()))
+    up, down = _powers(1 << max(BUFFER.bit_length(), (len(raw) - 1).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
     hashes = (sums[ends] - sums[starts]) * down[starts]
     return buffer, starts, ends - starts, hashes ^ (hashes >> np.uint64(29))
@@ -255,6 +255,10 @@ class _Encoder:
             self.levels[-2:] = [both[np.argsort(both["hash"], kind="stable")]]
         return rows["at"].astype(np.int64), counts
 
+    def _held(self) -> int:
+        """Bytes of known words, their ids and places."""
+        return self.pool.size * self.pool.data.itemsize + self.letters.size + sum(level.nbytes for level in self.levels)
+
     def _resolved(self, raw: bytes, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words of a buffer, one after the other, and how many each word has."""
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -264,7 +268,7 @@ class _Encoder:
             made = self._encoded_once(list(set(words)))
             ids = [np.frombuffer(made[w], self.dtype) for w in words]
             return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
-        if self.pool.size > REMEMBERED:
+        if self._held() > REMEMBERED:
             self.levels, self.pool, self.letters = [], _Pool(self.dtype), _Pool(np.uint8)
         at, count = self._found(distinct, buffer, starts[first], sizes[first])
         new = np.flatnonzero(count < 0)
@@ -403,6 +407,7 @@ def tokenised(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     held += lengths[-1]
                     if held >= BLOCK_IDS:
                         yield row(full())
+                        freed()
                         block, within, held, ids, lengths, made = block + 1, within + held, 0, [], [], []
         if ids:
             yield row(full())

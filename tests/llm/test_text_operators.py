@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 from zlib import crc32
 
@@ -352,6 +355,32 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
             assert np.frombuffer(encoder.encoded([text])[0], "<u2").tolist() == [*encoder._ids(text), 2]
 
 
+MANY_WORDS = """
+import random, re, sys
+import numpy as np
+from scanloom.llm import tokenfile
+
+def memory(what):
+    return int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+
+encoder = tokenfile.encoder(tokenfile.Vocabulary(sys.argv[1]))
+begin, rng = memory("VmRSS"), random.Random(5)
+texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(500)) for _ in range(256)]
+first = encoder.encoded(texts)
+for _ in range(8):
+    encoder.encoded([" ".join("".join(w) for w in zip(*[iter(rng.choices("abcdefghij", k=8 * 500))] * 8)) for _ in range(256)])
+assert encoder.encoded(texts) == first
+print(memory("VmHWM") - begin)
+"""
+
+
+def test_memory_of_many_distinct_words():
+    """Over a million distinct words; a process of its own, whose peak of memory is known."""
+    made = subprocess.run([sys.executable, "-c", MANY_WORDS, public_tokenizers.path("word_bpe_49k.json")], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert made.returncode == 0, made.stderr
+    assert int(made.stdout) < 140  # MB
+
+
 def test_streams_round_trip():
     rng = np.random.default_rng(2)
     for top in (1, 5, 256, 257, 70_000, 1 << 24, 1 << 31):
