@@ -33,16 +33,16 @@ from scanloom.llm.common import freed, removed, shared_path, worker_cache
 
 #: Ids of a block, at least, unless it is a shard's last; a document is never cut.
 BLOCK_IDS = 1 << 18
-#: Bytes that a worker keeps of known pieces, their ids and places; it starts anew beyond that.
-REMEMBERED = 32 << 20
+#: Bytes that a worker keeps of known pieces, their ids and places; beyond that it forgets those of the later half.
+REMEMBERED = 36 << 20
 #: Marks that part from a letter or digit before them (an apostrophe needn't).
 MARKS = b".,;:!?*#%&$"
 #: Documents that are encoded together.
-TOGETHER = 256
+TOGETHER = 1024
 #: Characters of a text that part rows of one id.
 TIE = 32
 #: Bytes of text that are looked at together.
-BUFFER = 1 << 18
+BUFFER = 1 << 19
 GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Lengths of the four ids of each control byte.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
@@ -86,7 +86,9 @@ class _Pool:
         """Put values at the end; where they begin."""
         begin, self.size = self.size, self.size + len(values)
         if self.size > len(self.data):
-            self.data = np.concatenate([self.data[:begin], np.empty(max(self.size, 2 * len(self.data)) - begin, self.data.dtype)])
+            grown = np.empty(max(self.size, 2 * len(self.data)), self.data.dtype)  # pages not written yet take no memory
+            grown[:begin] = self.data[:begin]
+            self.data = grown
         self.data[begin : self.size] = values
         return begin
 
@@ -141,6 +143,7 @@ class _Encoder:
         self.end = np.array([vocabulary.end_id], self.dtype).tobytes()
         self.levels: list[np.ndarray] = []
         self.pool, self.letters = _Pool(self.dtype), _Pool(np.uint8)
+        self.half = 0, 0
         normalizer = self.tokenizer.normalizer
         steps = json.loads(normalizer.__getstate__()) if normalizer else {}  # its part of the definition alone
         steps = [n["type"] for n in steps.get("normalizers", [steps]) if n]
@@ -250,15 +253,24 @@ class _Encoder:
         rows["at"] = self.pool.added(np.frombuffer(b"".join(ids), self.dtype)) + np.cumsum(counts) - counts
         rows["word"] = self.letters.added(np.frombuffer(b"".join(words), np.uint8)) + np.cumsum(sizes) - sizes
         self.levels.append(rows)
+        if 2 * self._held() <= REMEMBERED:
+            self.half = self.pool.size, self.letters.size
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
             both = np.concatenate(self.levels[-2:])
-            self.levels[-2:] = [both[np.argsort(both["hash"], kind="stable")]]
+            del self.levels[-2:]
+            self.levels.append(both[np.argsort(both["hash"], kind="stable")])
         return rows["at"].astype(np.int64), counts
 
     def _held(self) -> int:
         """Bytes of known words, their ids and places."""
         return self.pool.size * self.pool.data.itemsize + self.letters.size + sum(level.nbytes for level in self.levels)
 
+    def _forget(self) -> None:
+        """Drop all but the words of the first half of ``REMEMBERED``: frequent ones come early."""
+        self.pool.size, self.letters.size = self.half
+        kept = [level[level["word"] < self.letters.size] for level in self.levels]
+        self.levels = [level for level in kept if len(level)]
+
     def _resolved(self, raw: bytes, buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words of a buffer, one after the other, and how many each word has."""
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
@@ -269,7 +281,7 @@ class _Encoder:
             ids = [np.frombuffer(made[w], self.dtype) for w in words]
             return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
         if self._held() > REMEMBERED:
-            self.levels, self.pool, self.letters = [], _Pool(self.dtype), _Pool(np.uint8)
+            self._forget()
         at, count = self._found(distinct, buffer, starts[first], sizes[first])
         new = np.flatnonzero(count < 0)
         if len(new):
@@ -407,13 +419,13 @@ def tokenised(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     held += lengths[-1]
                     if held >= BLOCK_IDS:
                         yield row(full())
-                        freed()
                         block, within, held, ids, lengths, made = block + 1, within + held, 0, [], [], []
         if ids:
             yield row(full())
         ids, lengths = [], []
         if total.any():
             yield row(None, total.tobytes())
+        freed()
 
     made = ordered.mapInArrow(blocks, RAW.format(id_type))
     return made.withColumn("shard", F.spark_partition_id())
